@@ -1,0 +1,23 @@
+"""The queries of the problems on texts, and SQL where it can express them."""
+
+from __future__ import annotations
+
+from strandline.llm.bpe import token_ids
+from strandline.llm.leakage import leaked_items
+from strandline.sources.tables import table
+
+QUERIES = {
+    "p6_ids": lambda spark, d: token_ids(table(spark, d, "documents")),
+    "p7_found": lambda spark, d: leaked_items(table(spark, d, "documents"), table(spark, d, "heldout_items")),
+}
+
+SQL = {
+    "p7_found": r"""
+WITH d AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM documents),
+     i AS (SELECT item_id, string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM heldout_items),
+     ds AS (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d WHERE len(w) >= 12),
+     s AS (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i WHERE len(w) >= 12)
+SELECT DISTINCT doc_id, item_id
+FROM (SELECT doc_id, array_to_string(w[k:k + 11], ' ') AS g FROM ds) JOIN (SELECT item_id, array_to_string(w[k:k + 11], ' ') AS g FROM s) USING (g)
+""",
+}
