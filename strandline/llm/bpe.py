@@ -18,6 +18,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from strandline.llm.lookup import Lookup
+
 #: Fixed value: where the public vocabularies lie, and the one that p6_ids encodes by.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 NO_RANK = np.int32(2**31 - 1)
@@ -25,44 +27,27 @@ NO_RANK = np.int32(2**31 - 1)
 LONG_PIECE = 256
 #: Distinct pieces that a task keeps encoded; beyond it starts anew.
 KEPT_PIECES = 400_000
-MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass
 class Vocabulary:
-    """Ids of the single bytes, and the pair table: keys left << 32 | right, values the rank (= id) of the joined token."""
+    """Ids of the single bytes, and the pairs left << 32 | right with the rank (= id) of the joined token."""
 
     pattern: str
     of_byte: np.ndarray
-    keys: np.ndarray
+    pairs: Lookup
     ranks: np.ndarray
-    probes: int
-
-    @property
-    def shift(self) -> np.uint64:
-        return np.uint64(64 - (len(self.keys).bit_length() - 1))
 
     def lookup(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of pairs, NO_RANK where the pair is no token or one of it is padding."""
         key = (left.astype(np.int64).astype(np.uint64) << np.uint64(32)) | (right.astype(np.int64).astype(np.uint64) & np.uint64(0xFFFFFFFF))
-        slot = ((key * MIX) >> self.shift).astype(np.int64)
         found = np.full(len(key), NO_RANK, np.int32)
-        rest = np.flatnonzero((left >= 0) & (right >= 0))
-        for _ in range(self.probes):
-            at = slot[rest]
-            there = self.keys[at]
-            hit = there == key[rest]
-            found[rest[hit]] = self.ranks[at[hit]]
-            rest = rest[~hit & (there != EMPTY)]
-            if not len(rest):
-                break
-            slot[rest] = (slot[rest] + 1) & (len(self.keys) - 1)
+        whole = np.flatnonzero((left >= 0) & (right >= 0))
+        place = self.pairs.find(key[whole])
+        found[whole[place >= 0]] = self.ranks[place[place >= 0]]
         return found
 
 
-EMPTY = np.uint64(2**64 - 1)
-
-
 def read_vocabulary(path: str = TOKENIZER, pattern: str | None = None) -> Vocabulary:
     """The vocabulary of a rank file: a base64 token and its rank per line."""
     if pattern is None:
@@ -77,22 +62,9 @@ def read_vocabulary(path: str = TOKENIZER, pattern: str | None = None) -> Vocabu
             left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
             if left is not None and right is not None:
                 pairs[(left << 32) | right] = rank
-    size = 1 << max(4, (len(pairs) * 3).bit_length())
-    keys, values = np.full(size, EMPTY, np.uint64), np.full(size, NO_RANK, np.int32)
-    todo, rank = np.fromiter(pairs, np.uint64, len(pairs)), np.fromiter(pairs.values(), np.int32, len(pairs))
-    slot = ((todo * MIX) >> np.uint64(64 - (size.bit_length() - 1))).astype(np.int64)
-    probes = 0
-    while len(todo):
-        probes += 1
-        free = keys[slot] == EMPTY
-        _, first = np.unique(slot[free], return_index=True)
-        put = np.flatnonzero(free)[first]
-        keys[slot[put]], values[slot[put]] = todo[put], rank[put]
-        left = np.ones(len(todo), bool)
-        left[put] = False
-        todo, rank, slot = todo[left], rank[left], (slot[left] + 1) & (size - 1)
+    keys, values = np.fromiter(pairs, np.uint64, len(pairs)), np.fromiter(pairs.values(), np.int32, len(pairs))
     of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-    return Vocabulary(pattern, of_byte, keys, values, probes + 1)
+    return Vocabulary(pattern, of_byte, Lookup(keys), values)
 
 
 def merge_matrix(ids: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:

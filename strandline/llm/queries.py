@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from strandline.llm.bpe import token_ids
+from strandline.llm.languages import language_segments, mislabelled_segments
 from strandline.llm.leakage import leaked_items
 from strandline.sources.tables import table
 
 QUERIES = {
     "p6_ids": lambda spark, d: token_ids(table(spark, d, "documents")),
     "p7_found": lambda spark, d: leaked_items(table(spark, d, "documents"), table(spark, d, "heldout_items")),
+    "p8_found": lambda spark, d: mislabelled_segments(table(spark, d, "documents")),
+    "p8_segments": lambda spark, d: language_segments(table(spark, d, "documents")),
 }
 
 SQL = {
