@@ -53,18 +53,20 @@ SEED = {
 
 #: Common words of each language, added to SEED.
 COMMON = {
-    "en": "the of and to in is was were that with which who for by its it has had from at this not been are their but when there after no",
-    "de": "der die das und wurde nicht ist von mit den dem auf im ein eine einen seit zum zur hat sich auch nach wird war aus bei dass oder noch",
-    "fr": "le la les des est dans qui une un et aux été sur que pour par du au ne pas plus il elle ont avec cette son sa ses mais où",
-    "es": "el los las del fue una un que por en con se y la no su sus es más al lo como para pero entre también sin hasta desde donde",
-    "it": "il della che di fu gli non per una un dal con lo nel e la si le dei alla sono è stato più come anche ma nella delle questo dove",
-    "pt": "o os da do que uma um não em por com dos as ao se na no foi é mais das para como mas pela pelo também até entre onde",
-    "nl": "het de een van en werd niet dat met die voor naar is op in zijn aan er door als ook maar bij uit om wordt waren haar hun waar",
-    "sv": "och det en ett av som den är inte för på med till att har var de om från vid han hon sin men efter där när eller under",
-    "ru": "и в не на что был была было с по из как это его её они для от же к но у за так который при также год где",
-    "ja": "は の を に が で と し た て いる ある から まで する れ も ない です ます その この という られ よう",
+    "en": "the of and to in is was were that with which who for by its it has had from at this not been are their but when there after no who what which when where how many did does do as or be an he she they we you can about only both than",
+    "de": "der die das und wurde nicht ist von mit den dem auf im ein eine einen seit zum zur hat sich auch nach wird war aus bei dass oder noch wer was welche welcher welches welchem wann wo wie viele durch über war wurden er sie es wir ihr kann nur als am",
+    "fr": "le la les des est dans qui une un et aux été sur que pour par du au ne pas plus il elle ont avec cette son sa ses mais où quel quelle quels qui quand comment combien où dont a il elles nous vous peut comme entre fut était",
+    "es": "el los las del fue una un que por en con se y la no su sus es más al lo como para pero entre también sin hasta desde donde qué quién quiénes cuál cuándo dónde cómo cuántos él ella nosotros ser fue era después antes sobre",
+    "it": "il della che di fu gli non per una un dal con lo nel e la si le dei alla sono è stato più come anche ma nella delle questo dove chi quale quali quando dove come quanti che cosa lui lei noi può tra fu era dopo prima sul",
+    "pt": "o os da do que uma um não em por com dos as ao se na no foi é mais das para como mas pela pelo também até entre onde quem qual quais quando onde como quantos que ele ela nós pode sobre era depois antes desde seu sua",
+    "nl": "het de een van en werd niet dat met die voor naar is op in zijn aan er door als ook maar bij uit om wordt waren haar hun waar wie wat welke wanneer waar hoe veel hij zij wij je kan deze dit was na tot tussen onder",
+    "sv": "och det en ett av som den är inte för på med till att har var de om från vid han hon sin men efter där när eller under vem vad vilken vilket när var hur många han vi ni kan denna detta blev mellan före över",
+    "ru": "и в не на что был была было с по из как это его её они для от же к но у за так который при также год где кто что какой какая какие когда где сколько он она они мы вы может быть после до между",
+    "ja": "は の を に が で と し た て いる ある から まで する れ も ない です ます その この という られ よう 誰 何 どこ いつ どの どちら いくつ 人 年 その後 として による",
 }
 
+WORDS_OF = {language: frozenset(words.split()) for language, words in COMMON.items()}
+
 ORDER = 4
 #: Labelled documents per language that the trees are counted over, and the length of those that may be taken.
 SAMPLE_DOCS = 150
@@ -219,6 +221,16 @@ def sentences(text: str) -> list[tuple[str, bool]]:
     return out
 
 
+def common_words_language(unit: str) -> int:
+    """The language whose common words a sentence has most of, by two at least and with no other like it; else -1."""
+    if kana.search(unit):
+        return LANGUAGES.index("ja")
+    tokens = re.findall(r"[^\W\d_]+", unit.lower())
+    hits = [sum(t in WORDS_OF[language] for t in tokens) for language in LANGUAGES]
+    most = max(hits)
+    return hits.index(most) if most >= 2 and hits.count(most) == 1 else -1
+
+
 def best_path(bits: np.ndarray) -> list[int]:
     """The cheapest sequence of languages, with CHANGE_BITS per change."""
     cost, back = bits[0].copy(), []

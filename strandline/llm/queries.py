@@ -6,11 +6,13 @@ from strandline.llm.bpe import token_ids
 from strandline.llm.languages import language_segments, mislabelled_segments
 from strandline.llm.leakage import leaked_items
 from strandline.llm.near import near_duplicate_classes, near_duplicate_pairs
+from strandline.llm.pairs import pair_defects, qa_pairs
 from strandline.sources.tables import table
 
 QUERIES = {
     "p4_found": lambda spark, d: near_duplicate_pairs(table(spark, d, "demo")),
     "p4_classes": lambda spark, d: near_duplicate_classes(table(spark, d, "demo")),
+    "p5_found": lambda spark, d: pair_defects(qa_pairs(table(spark, d, "demo"), table(spark, d, "eval_results"))),
     "p6_ids": lambda spark, d: token_ids(table(spark, d, "documents")),
     "p7_found": lambda spark, d: leaked_items(table(spark, d, "documents"), table(spark, d, "heldout_items")),
     "p8_found": lambda spark, d: mislabelled_segments(table(spark, d, "documents")),
