@@ -31,7 +31,9 @@ SIZE_BITS = 14
 LARGEST = (1 << SIZE_BITS) - 1
 WORDS = 3
 #: Rows that one block of comparisons takes from a bucket.
-BLOCK = 512
+BLOCK = 256
+#: Up to this size the buckets of one size are compared together.
+SMALL = 24
 
 
 def normal_text(text: Column) -> Column:
@@ -141,48 +143,63 @@ def _tables(texts: DataFrame, depth: int, likeness: float) -> DataFrame:
     return texts.mapInArrow(emit, ", ".join(f"{name} bigint" for name in names))
 
 
-def _close(a: np.ndarray, b: np.ndarray, factor: float) -> np.ndarray:
-    """Which rows (key, id, bits0, ...) may be alike by their sizes and parity bits; rows and columns are broadcast."""
-    differ = np.zeros(np.broadcast_shapes(a.shape[:-1], b.shape[:-1]), np.int16)
-    for word in range(2, 2 + WORDS):
-        differ += np.bitwise_count((a[..., word] ^ b[..., word]).view(np.uint64))  # of a negative number it would count the opposite's
-    x, y = a[..., 0] & LARGEST, b[..., 0] & LARGEST
-    return ((differ <= (x + y) * factor + 1e-9) | (np.maximum(x, y) == LARGEST)) & (a[..., 1] != b[..., 1])
+class Rows:
+    """Rows (key, id, bits0, ...) by column, and which of them may be alike by their sizes and parity bits."""
 
+    def __init__(self, rows: np.ndarray, likeness: float) -> None:
+        self.id = np.ascontiguousarray(rows[:, 1])
+        self.size = (rows[:, 0] & LARGEST).astype(np.int32)
+        self.words = [np.ascontiguousarray(rows[:, 2 + w]).view(np.uint64) for w in range(WORDS)]
+        factor = (1 - likeness) / (1 + likeness)
+        #: The least sum of sizes at which texts may differ in so many bits.
+        self.least = np.ceil((np.arange(64 * WORDS + 1) - 1e-9) / factor).astype(np.int32)
 
-def bucket_pairs(rows: np.ndarray, starts: np.ndarray, factor: float) -> np.ndarray:
+    def close(self, x, y, across: bool) -> np.ndarray:
+        """Whether rows x and y may be alike: pair by pair, or (across) each of x with each of y."""
+        side = (lambda v: v[x][:, None]) if across else (lambda v: v[x])
+        differ = np.bitwise_count(side(self.words[0]) ^ self.words[0][y])
+        for word in self.words[1:]:
+            differ += np.bitwise_count(side(word) ^ word[y])
+        keep = self.least[differ] <= side(self.size) + self.size[y]
+        if (self.size[x] == LARGEST).any() or (self.size[y] == LARGEST).any():
+            keep |= (side(self.size) == LARGEST) | (self.size[y] == LARGEST)
+        return keep
+
+
+def bucket_pairs(rows: Rows, starts: np.ndarray) -> np.ndarray:
     """Candidate pairs (id, id) of all buckets; starts = where each bucket begins, and the end."""
-    out = []
+    left, right = [], []
     size = np.diff(starts)
-    for n in np.unique(size[size > 1]):
+    for n in np.unique(size[size > 1]).tolist():
         where = starts[:-1][size == n]
-        if n <= 8:  # many small buckets: one comparison for each pair of places
+        if n <= SMALL:  # many small buckets: one comparison for each pair of places
             for i in range(n):
                 for j in range(i + 1, n):
-                    a, b = rows[where + i], rows[where + j]
-                    keep = _close(a, b, factor)
-                    out.append(np.stack([a[keep, 1], b[keep, 1]], axis=1))
+                    at = where[rows.close(where + i, where + j, False)]
+                    left.append(rows.id[at + i])
+                    right.append(rows.id[at + j])
         else:
-            for begin in where:
+            for begin in where.tolist():
                 for i in range(begin, begin + n, BLOCK):
                     for j in range(i, begin + n, BLOCK):
-                        a, b = rows[i : min(i + BLOCK, begin + n)], rows[j : min(j + BLOCK, begin + n)]
-                        x, y = np.nonzero(_close(a[:, None], b[None], factor))
-                        out.append(np.stack([a[x, 1], b[y, 1]], axis=1))
-    pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-    return np.unique(np.sort(pairs, axis=1), axis=0)
+                        x, y = np.nonzero(rows.close(slice(i, min(i + BLOCK, begin + n)), slice(j, min(j + BLOCK, begin + n)), True))
+                        left.append(rows.id[x + i])
+                        right.append(rows.id[y + j])
+    if not left:
+        return np.zeros((0, 2), np.int64)
+    a, b = np.concatenate(left), np.concatenate(right)
+    pairs = np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[a != b]
+    return np.unique(pairs, axis=0)
 
 
 def _candidates(tables: DataFrame, likeness: float) -> DataFrame:
-    factor = (1 - likeness) / (1 + likeness)
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] = []
 
         def drained(rows: np.ndarray) -> pa.RecordBatch:
             bucket = rows[:, 0] >> SIZE_BITS
             starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
-            pairs = bucket_pairs(rows, starts, factor)
+            pairs = bucket_pairs(Rows(rows, likeness), starts)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
         total = 0
