@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandline.functions.instants import instant_micros
 
@@ -85,5 +86,5 @@ def heavy_keys(
         df.join(F.broadcast(named), list(keys), "left_semi").groupBy(*keys)
         .agg(F.array_distinct(F.percentile_approx(order, shares, F.lit(10_000))).alias("cuts")).collect()
     )
-    found = spark.createDataFrame(rows, schema.add("cuts", "array<bigint>"))
+    found = spark.createDataFrame(rows, T.StructType([*schema, T.StructField("cuts", T.ArrayType(T.LongType()))]))
     return HeavyKeys(found, keys, len(rows))
