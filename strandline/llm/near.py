@@ -94,19 +94,24 @@ def parity_bits(hashes: np.ndarray) -> list[int]:
     return np.packbits((np.bincount(place, minlength=64 * WORDS) & 1).astype(np.uint8)).view(np.int64).tolist()
 
 
-def table_keys(hashes: np.ndarray, band: int, depth: int, likeness: float) -> np.ndarray:
-    """The keys of a text in all tables of a band."""
+@lru_cache(1000)
+def _masks(band: int, depth: int, likeness: float) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """Of a band: the number of parts and of codes, which codes have odd parity under which mask, and a salt per table."""
     most = radius(2 * band_top(band), likeness)
     depth = min(depth, most)
     parts, codes = most // (depth + 1) + 1, 1 << (depth + 1)
-    cell = ((hashes & np.uint64(0xFFFFFFFF)) % np.uint64(parts)).astype(np.int64) * codes + ((hashes >> np.uint64(40)) % np.uint64(codes)).astype(np.int64)
-    sums = np.zeros(parts * codes, np.uint64)
-    np.add.at(sums, cell, _mixed(hashes))
-    code = np.arange(codes)
-    odd = np.array([[bin(c & v).count("1") & 1 for v in range(1, codes)] for c in code], bool)
-    keys = sums.reshape(parts, codes) @ odd.astype(np.uint64)
+    odd = np.array([[bin(c & v).count("1") & 1 for v in range(1, codes)] for c in range(codes)], np.uint64)
     table = np.arange(parts * (codes - 1), dtype=np.uint64).reshape(parts, codes - 1) + np.uint64(band << 40)
-    return _mixed(keys ^ _mixed(table + np.uint64(1))).ravel()
+    return parts, codes, odd, _mixed(table + np.uint64(1))
+
+
+def table_keys(hashes: np.ndarray, band: int, depth: int, likeness: float) -> np.ndarray:
+    """The keys of a text in all tables of a band."""
+    parts, codes, odd, salt = _masks(band, depth, likeness)
+    part, code = (hashes & np.uint64(0xFFFFFFFF)) % np.uint64(parts), (hashes >> np.uint64(40)) % np.uint64(codes)
+    sums = np.zeros(parts * codes, np.uint64)
+    np.add.at(sums, (part * np.uint64(codes) + code).astype(np.int64), _mixed(hashes))
+    return _mixed((sums.reshape(parts, codes) @ odd) ^ salt).ravel()
 
 
 def _tables(texts: DataFrame, depth: int, likeness: float) -> DataFrame:
