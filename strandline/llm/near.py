@@ -41,7 +41,7 @@ def normal_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
-@lru_cache(50_000)
+@lru_cache(2_000)
 def grams(text: str) -> frozenset[str]:
     return frozenset(text[i : i + GRAM] for i in range(len(text) - GRAM + 1))
 
@@ -156,19 +156,31 @@ class Rows:
         self.size = (rows[:, 0] & LARGEST).astype(np.int32)
         self.words = [np.ascontiguousarray(rows[:, 2 + w]).view(np.uint64) for w in range(WORDS)]
         factor = (1 - likeness) / (1 + likeness)
+        self.buffers = np.empty((BLOCK, BLOCK), np.uint64), np.empty((BLOCK, BLOCK), np.uint8), np.empty((BLOCK, BLOCK), np.uint8)
         #: The least sum of sizes at which texts may differ in so many bits.
         self.least = np.ceil((np.arange(64 * WORDS + 1) - 1e-9) / factor).astype(np.int32)
 
-    def close(self, x, y, across: bool) -> np.ndarray:
-        """Whether rows x and y may be alike: pair by pair, or (across) each of x with each of y."""
-        side = (lambda v: v[x][:, None]) if across else (lambda v: v[x])
-        differ = np.bitwise_count(side(self.words[0]) ^ self.words[0][y])
-        for word in self.words[1:]:
-            differ += np.bitwise_count(side(word) ^ word[y])
-        keep = self.least[differ] <= side(self.size) + self.size[y]
-        if (self.size[x] == LARGEST).any() or (self.size[y] == LARGEST).any():
-            keep |= (side(self.size) == LARGEST) | (self.size[y] == LARGEST)
-        return keep
+    def close(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether rows x and y, pair by pair, may be alike."""
+        differ = sum(np.bitwise_count(word[x] ^ word[y]) for word in self.words)
+        size = self.size[x] + self.size[y]
+        return (self.least[differ] <= size) | (np.maximum(self.size[x], self.size[y]) == LARGEST)
+
+    def close_across(self, i: int, j: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs of a block of rows from i with one from j that may be alike: first by the bound of the largest sizes, then by their own."""
+        n, m = min(BLOCK, end - i), min(BLOCK, end - j)
+        bits, count, differ = (buffer[:n, :m] for buffer in self.buffers)
+        differ[:] = 0
+        for word in self.words:
+            np.bitwise_xor(word[i : i + n, None], word[None, j : j + m], out=bits)
+            np.bitwise_count(bits, out=count)
+            np.add(differ, count, out=differ)
+        x, y = self.size[i : i + n].max(), self.size[j : j + m].max()
+        bound = 64 * WORDS if max(x, y) == LARGEST else int(np.searchsorted(self.least, x + y, side="right")) - 1
+        flat = np.flatnonzero(differ <= bound)
+        a, b = i + flat // m, j + flat % m
+        keep = self.close(a, b)
+        return a[keep], b[keep]
 
 
 def bucket_pairs(rows: Rows, starts: np.ndarray) -> np.ndarray:
@@ -180,21 +192,26 @@ def bucket_pairs(rows: Rows, starts: np.ndarray) -> np.ndarray:
         if n <= SMALL:  # many small buckets: one comparison for each pair of places
             for i in range(n):
                 for j in range(i + 1, n):
-                    at = where[rows.close(where + i, where + j, False)]
+                    at = where[rows.close(where + i, where + j)]
                     left.append(rows.id[at + i])
                     right.append(rows.id[at + j])
         else:
             for begin in where.tolist():
                 for i in range(begin, begin + n, BLOCK):
                     for j in range(i, begin + n, BLOCK):
-                        x, y = np.nonzero(rows.close(slice(i, min(i + BLOCK, begin + n)), slice(j, min(j + BLOCK, begin + n)), True))
-                        left.append(rows.id[x + i])
-                        right.append(rows.id[y + j])
+                        x, y = rows.close_across(i, j, begin + n)
+                        left.append(rows.id[x])
+                        right.append(rows.id[y])
     if not left:
         return np.zeros((0, 2), np.int64)
     a, b = np.concatenate(left), np.concatenate(right)
-    pairs = np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[a != b]
-    return np.unique(pairs, axis=0)
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    apart = a != b
+    a, b = a[apart], b[apart]
+    order = np.argsort(_mixed(a.view(np.uint64)) ^ b.view(np.uint64))
+    a, b = a[order], b[order]
+    fresh = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)]
+    return np.stack([a[fresh], b[fresh]], axis=1)
 
 
 def _candidates(tables: DataFrame, likeness: float) -> DataFrame:
