@@ -19,6 +19,7 @@ def instant_micros(text: Column) -> Column:
     spread = F.regexp_replace(plain, r"^(\d{4})(\d{2})(\d{2})[T ]?(\d{2})(\d{2})(\d{2})?", "$1-$2-$3T$4:$5:$6")
     spread = F.regexp_replace(F.regexp_replace(spread, r":(?=$|[Z+\-.])", ":00"), r"([+\-]\d{2})(\d{2})?$", "$1:$2")
     spread = F.regexp_replace(spread, r"([+\-]\d{2}):$", "$1:00")
+    spread = F.regexp_replace(spread, r"^(.{10}[T ]\d{2}:\d{2})(?=$|[Z+\-])", "$1:00")
     return F.coalesce(
         F.unix_micros(plain.try_cast("timestamp")), F.unix_micros(spread.try_cast("timestamp"))
     )

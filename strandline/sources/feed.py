@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThanOrEqual, InputPartition, LessThanOrEqual, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThanOrEqual, InputPartition, LessThanOrEqual
 
 from strandline import schemas
 
@@ -59,19 +59,23 @@ class FeedReader(DataSourceReader):
         return (r for r in read_page(partition.page) if r[4] is None and not self.since or r[4] is not None and self.since <= r[4] <= self.until)
 
 
-class FeedStream(SimpleDataSourceStreamReader):
+class FeedStream(DataSourceStreamReader):
+    """Offset: the number of pages there were; a partition per new page."""
+
     def __init__(self, path: str) -> None:
         self.path = path
 
     def initialOffset(self) -> dict:
         return {"pages": 0}
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        pages = list_pages(self.path)[start["pages"] :]
-        return (r for p in pages for r in read_page(p)), {"pages": start["pages"] + len(pages)}
+    def latestOffset(self) -> dict:
+        return {"pages": len(list_pages(self.path))}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return [Page(p) for p in list_pages(self.path)[start["pages"] : end["pages"]]]
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return (r for p in list_pages(self.path)[start["pages"] : end["pages"]] for r in read_page(p))
+    def read(self, partition: Page) -> Iterator[tuple]:
+        return read_page(partition.page)
 
     def commit(self, end: dict) -> None:
         """Pages stay where they are."""
@@ -90,7 +94,7 @@ class ChangeFeed(DataSource):
     def reader(self, schema) -> FeedReader:
         return FeedReader(self.options["path"])
 
-    def simpleStreamReader(self, schema) -> FeedStream:
+    def streamReader(self, schema) -> FeedStream:
         return FeedStream(self.options["path"])
 
 
