@@ -285,7 +285,7 @@ def learn(docs: DataFrame, doc_id: str, text: str, lang: str, sample_docs: int =
 
     Labels are counted over all rows; then documents are picked by a hash of their id. Many labels are wrong, so they only
     serve to pick documents of every language: the first trees know SEED and COMMON alone, and are counted again ROUNDS
-    times over the sentences of the picked documents, as the trees before assign them.
+    times over the sentences of the picked documents, as the trees of the other half of them assign them.
     """
     low, high = SAMPLE_CHARS
     labelled = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), label_language(F.col(lang)).alias("label")).where(
@@ -302,18 +302,32 @@ def learn(docs: DataFrame, doc_id: str, text: str, lang: str, sample_docs: int =
         if taken[row["label"]] <= sample_docs and (units := sentences(row["text"])):
             picked.append(units)
     seeds = {k: [SEED[k], COMMON[k]] for k in LANGUAGES}
-    trees = Trees(seeds)
-    for _ in range(ROUNDS if picked else 0):
-        bits = trees.bits([unit for units in picked for unit, _ in units])
-        texts, at = {k: list(v) for k, v in seeds.items()}, 0
-        for units in picked:
-            found = stretches([c for _, c in units], bits[at : at + len(units)])
-            of = {u: k for k, run in found for u in run}
-            for u, (unit, _) in enumerate(units):  # a lone sentence is taken with what it follows
-                texts[LANGUAGES[of[max((x for x in of if x <= u), default=min(of))]]].append(unit)
+    given: list[list[int]] = [[] for _ in picked]
+
+    def assign(members: range, trees: Trees) -> None:
+        """Gives each sentence of the documents its language by the trees; a lone sentence is taken with what it follows."""
+        bits, at = trees.bits([unit for m in members for unit, _ in picked[m]]), 0
+        for m in members:
+            units = picked[m]
+            of = {u: k for k, run in stretches([c for _, c in units], bits[at : at + len(units)]) for u in run}
+            given[m] = [of[max((x for x in of if x <= u), default=min(of))] for u in range(len(units))]
             at += len(units)
-        trees = Trees(texts)
-    return trees
+
+    def count(members: range) -> Trees:
+        texts = {k: list(v) for k, v in seeds.items()}
+        for m in members:
+            for (unit, _), k in zip(picked[m], given[m]):
+                texts[LANGUAGES[k]].append(unit)
+        return Trees(texts)
+
+    whole = range(len(picked))
+    assign(whole, Trees(seeds))
+    for _ in range(ROUNDS):  # each half by trees of the other one: a sentence that is in the trees would stay where it is
+        halves = [range(h, len(picked), 2) for h in (0, 1)]
+        trees = [count(h) for h in halves]
+        for h in (0, 1):
+            assign(halves[h], trees[1 - h])
+    return count(whole)
 
 
 def language_segments(
