@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,8 +24,8 @@ def predicate_sizes(triples: DataFrame) -> DataFrame:
 
 
 def single_valued(graph: DataFrame) -> DataFrame:
-    """(s, p, o): the facts whose subject and predicate have no other object."""
-    return graph.groupBy("s", "p").agg(F.count_distinct("o").alias("n"), F.min("o").alias("o")).where(F.col("n") == 1).select("s", "p", "o")
+    """(s, p, o): the facts (each there once) whose subject and predicate have no other object."""
+    return graph.groupBy("s", "p").agg(F.count(F.lit(1)).alias("n"), F.min("o").alias("o")).where(F.col("n") == 1).select("s", "p", "o")
 
 
 def stratified(graph: DataFrame, total: int) -> DataFrame:
@@ -45,16 +43,16 @@ def verified(candidates: DataFrame, graph: DataFrame, target: int | None = None)
     return kept.orderBy("place", "p").limit(target) if target else kept
 
 
-def greedy_stratified(graph: DataFrame, total: int, most_per_predicate: int = 5000) -> DataFrame:
+def greedy_stratified(graph: DataFrame, total: int) -> DataFrame:
     """stratified(), where a node taken for an earlier (larger) predicate, as subject or object, is no subject for a later one.
 
-    Predicates are taken one after the other, so the choice runs over ids only, in one task: its input is at most the quota
-    of each predicate times the nodes that others may take from it, `most_per_predicate` in all; the result is `total` rows.
+    Predicates are taken one after the other, in one task and over ids only. No more than 2 * total nodes are ever taken, so the
+    first 3 * total facts of each predicate are enough for an exact choice; the result is at most `total` rows.
     """
     sizes = graph.groupBy("p").agg(F.count(F.lit(1)).alias("size"))
     order = hash_order("s", "p", "o")
     pool = single_valued(graph).withColumn("place", F.row_number().over(Window.partitionBy("p").orderBy(order, "s")).cast("long"))
-    pool = pool.where(F.col("place") <= most_per_predicate).join(F.broadcast(sizes), "p").select(F.lit(0).alias("one"), "s", "p", "o", "place", "size")
+    pool = pool.where(F.col("place") <= 3 * total).join(F.broadcast(sizes), "p").select(F.lit(0).alias("one"), "s", "p", "o", "place", "size")
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["size", "p", "place"], ascending=[False, True, True])
@@ -88,7 +86,7 @@ def bridges(graph: DataFrame) -> DataFrame:
         inverse = inverse | ((F.col("p1") == x) & (F.col("p2") == y)) | ((F.col("p1") == y) & (F.col("p2") == x))
     sense = ~(F.col("p1").isin(*SEQUENCE) & F.col("p2").isin(*SEQUENCE)) & ~inverse
     paths = t1.join(t2, "b").where(F.col("a") != F.col("c")).where(sense)
-    one = paths.groupBy("a", "p1", "p2", "c").agg(F.count_distinct("b").alias("n"), F.min("b").alias("b")).where("n = 1")
+    one = paths.groupBy("a", "p1", "p2", "c").agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("b")).where("n = 1")
     return one.where((F.col("b") != F.col("a")) & (F.col("b") != F.col("c"))).select("a", "p1", "b", "p2", "c")
 
 
@@ -104,24 +102,27 @@ def single_paths(graph: DataFrame) -> DataFrame:
 
 
 def greedy_bridges(found: DataFrame, most: int, pool: int = 20_000) -> DataFrame:
-    """Up to `most` bridges in hash order, no node of which is in another one: chosen in one task from the first `pool` bridges."""
-    first = found.orderBy(hash_order("a", "p1", "b", "p2", "c"), "a", "b", "c").limit(pool)
-    ranked = first.withColumn("_k", hash_order("a", "p1", "b", "p2", "c")).coalesce(1).sortWithinPartitions("_k", "a", "b", "c").drop("_k")
+    """Up to `most` bridges in hash order, no node of which is in another one taken.
 
-    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        used: set[str] = set()
-        n = 0
-        for batch in batches:
-            keep = []
-            for row in batch.itertuples(index=False):
-                nodes = {row.a, row.b, row.c}
-                keep.append(n < most and not nodes & used)
-                if keep[-1]:
-                    used |= nodes
-                    n += 1
-            yield batch[keep]
-
-    return ranked.mapInPandas(choose, found.schema)
+    The driver sees at most `pool` bridges at a time, and of those after the last one only such as touch no node taken so far; every
+    round takes one at least, so there are at most `most` rounds, as a rule one.
+    """
+    ordered = found.withColumn("k", hash_order("a", "p1", "b", "p2", "c"))
+    used: set[str] = set()
+    taken, after = [], ""
+    while len(taken) < most:
+        free = ordered.where(F.col("k") > after)
+        if used:
+            free = free.where(~(F.col("a").isin(*used) | F.col("b").isin(*used) | F.col("c").isin(*used)))
+        rows = free.orderBy("k").limit(pool).collect()
+        for row in rows:
+            if len(taken) < most and not {row.a, row.b, row.c} & used:
+                used |= {row.a, row.b, row.c}
+                taken.append(tuple(row)[:5])
+        if len(rows) < pool:
+            break
+        after = rows[-1].k
+    return found.sparkSession.createDataFrame(taken, found.schema)
 
 
 def ordered_constraints(graph: DataFrame, most: int = 5, least: int = 3) -> DataFrame:

@@ -1,8 +1,9 @@
 """Per-key results under heavy skew, by value-frequency compression.
 
 Rows are grouped by key and value before they are grouped by key: a hot key's rows spread over its values, the counts
-are combined before the shuffle, and the exact statistic comes from weighted values. Weights are taken on two levels,
-by day and by exact value, so that the window of a key runs over its days and then over the values of a single day.
+are combined before the shuffle, and the exact statistic comes from weighted values. A median is narrowed down by weights
+per day, then per second of the day it falls in, then per value of that second: the window of a key runs over its days, over at most
+86,400 seconds and over the changes of one second, however many rows the key has.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ from pyspark.sql import functions as F
 
 from strandline.operators.feed import normal_changes
 
-DAY = 86_400_000_000
+SECOND = 1_000_000
+DAY = 86_400 * SECOND
 #: Stands in for an unreadable instant: before every other one.
 NEVER = -(1 << 62)
 
@@ -39,28 +41,32 @@ def key_medians(changes: DataFrame, fields: tuple[str, ...] = ("entity_id", "pro
     Order is by instant, then revid; copies count once. A NULL key is a key; a change with an unreadable instant comes
     first in order; a NULL revid comes before others. Empty input gives an empty result. Other columns are ignored.
     """
-    values = weighted_values(changes, fields).withColumn("day", F.floor(F.col("at") / F.lit(DAY)))
+    values = weighted_values(changes, fields).withColumns({"day": F.floor(F.col("at") / F.lit(DAY)), "second": F.floor(F.col("at") / F.lit(SECOND))})
     days = values.groupBy("field", "key_id", "day").agg(F.sum("w").alias("w"))
-    key = Window.partitionBy("field", "key_id")
-    upto = key.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    middle = F.ceil(F.col("n") / F.lit(2)).cast("long")
-    target = (
-        days.withColumns({"n": F.sum("w").over(key), "upto": F.sum("w").over(upto)})
-        .where((F.col("upto") >= middle) & (F.col("upto") - F.col("w") < middle))
-        .select(
-            F.col("field").alias("t_field"), F.col("key_id").alias("t_key"), F.col("day").alias("t_day"),
-            "n", (middle - F.col("upto") + F.col("w")).alias("place"),
-        )
-    )
-    same = (F.col("field") == F.col("t_field")) & F.col("key_id").eqNullSafe(F.col("t_key")) & (F.col("day") == F.col("t_day"))
-    in_day = Window.partitionBy("field", "key_id", "day").orderBy("at", "revid").rowsBetween(Window.unboundedPreceding, 0)
+    sized = days.withColumn("n", F.sum("w").over(Window.partitionBy("field", "key_id")))
+    day = _reached(sized.withColumn("place", F.ceil(F.col("n") / F.lit(2)).cast("long")), ["field", "key_id"], ["day"])
+    in_day = _inside(values, day, ["field", "key_id", "day"])
+    seconds = in_day.groupBy("field", "key_id", "second", "n", "place").agg(F.sum("w").alias("w"))
+    second = _reached(seconds, ["field", "key_id"], ["second"])
+    middle = _reached(_inside(in_day.drop("n", "place"), second, ["field", "key_id", "second"]), ["field", "key_id"], ["at", "revid"])
     names = F.array(*[F.lit(f) for f in fields])
-    return (
-        values.join(target, same)
-        .withColumn("upto", F.sum("w").over(in_day))
-        .where((F.col("upto") >= F.col("place")) & (F.col("upto") - F.col("w") < F.col("place")))
-        .select(names[F.col("field")].alias("key_field"), "key_id", F.col("n").alias("n_changes"), F.col("revid").alias("mid_revid"))
-    )
+    return middle.select(names[F.col("field")].alias("key_field"), "key_id", F.col("n").alias("n_changes"), F.col("revid").alias("mid_revid"))
+
+
+def _reached(weights: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """Of the weights of each key, in order, the one in which the running sum reaches `place`; place is then counted within it."""
+    upto = F.sum("w").over(Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    reached = weights.withColumn("before", upto - F.col("w")).where((F.col("before") < F.col("place")) & (F.col("before") + F.col("w") >= F.col("place")))
+    return reached.withColumn("place", F.col("place") - F.col("before")).drop("before")
+
+
+def _inside(values: DataFrame, target: DataFrame, on: list[str]) -> DataFrame:
+    """The values in each key's target, with its n and place."""
+    named = target.select(*[F.col(c).alias(f"t_{c}") for c in on], "n", "place")
+    same = F.lit(True)
+    for c in on:
+        same = same & F.col(c).eqNullSafe(F.col(f"t_{c}"))
+    return values.join(named, same).drop(*[f"t_{c}" for c in on])
 
 
 def key_modes(changes: DataFrame, field: str, value: str) -> DataFrame:
