@@ -53,7 +53,7 @@ SEED = {
 
 #: Common words of each language, added to SEED.
 COMMON = {
-    "en": "the of and to in is was were that with which who for by its it has had from at this not been are their but when there after no who what which when where how many did does do as or be an he she they we you can about only both than",
+    "en": "the of and to in is was were that with which who for by its it has had from at this not been are their but when there after no who what which when where how many did does do as or be an he she they we you can about only both than my your our me us some any will would could",
     "de": "der die das und wurde nicht ist von mit den dem auf im ein eine einen seit zum zur hat sich auch nach wird war aus bei dass oder noch wer was welche welcher welches welchem wann wo wie viele durch über war wurden er sie es wir ihr kann nur als am",
     "fr": "le la les des est dans qui une un et aux été sur que pour par du au ne pas plus il elle ont avec cette son sa ses mais où quel quelle quels qui quand comment combien où dont a il elles nous vous peut comme entre fut était",
     "es": "el los las del fue una un que por en con se y la no su sus es más al lo como para pero entre también sin hasta desde donde qué quién quiénes cuál cuándo dónde cómo cuántos él ella nosotros ser fue era después antes sobre",
