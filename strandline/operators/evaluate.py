@@ -105,3 +105,48 @@ def snippets(documents: DataFrame, queries: DataFrame, top: int = 3) -> DataFram
     line = F.format_string("Doc %d(Title: %s) %s", F.col("r"), F.coalesce("source", F.lit("None")), F.substring("text", 1, 160))
     lists = few.groupBy("entity_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", line.alias("l")))), lambda x: x["l"]), "\n").alias("information"))
     return queries.join(lists, "entity_id", "left").select("query_id", F.coalesce("information", F.lit("")).alias("information"))
+
+
+#: Own wording of the two ways of asking.
+DIRECT = "Answer with a name or number only, between <answer> and </answer>.\nQuestion: "
+STEPWISE = "Think step by step, then give the answer between <answer> and </answer>.\nQuestion: "
+SEARCHING = "You may search with <search>words</search>; you will be given documents. When you know it, answer between <answer> and </answer>.\nQuestion: "
+
+
+def answered(items: DataFrame, client, instruction: str = DIRECT) -> DataFrame:
+    """items (question, ...) with model_answer: the client's reply to instruction and question, with its tags; an error text if there is none."""
+    schema = f"{items.schema.simpleString()[7:-1]},model_answer:string"
+
+    def ask(batches):
+        for batch in batches:
+            replies = [client(instruction + (q if q.endswith("?") else f"{q}?")) or NO_OUTPUT for q in batch["question"]]
+            yield batch.assign(model_answer=replies)
+
+    return items.mapInPandas(ask, f"struct<{schema}>")
+
+
+def searched(items: DataFrame, client, search, most: int = MOST_TURNS) -> DataFrame:
+    """(item_id, step, text) of the search loop for items (item_id, question): each turn's text, as replay() takes them.
+
+    Per item the client is asked again with what `search` found for its query, until a turn has no query or `most` turns were taken.
+    """
+
+    def loop(batches):
+        import re
+
+        import pandas as pd
+
+        for batch in batches:
+            turns = []
+            for item, question in zip(batch["item_id"], batch["question"]):
+                prompt = SEARCHING + (question if question.endswith("?") else f"{question}?")
+                for step in range(1, most + 1):
+                    text = client(prompt) or ""
+                    turns.append((item, step, text))
+                    queries = re.findall(r"<search>(.*?)</search>", text, re.S)
+                    if not queries or not queries[-1].strip():
+                        break
+                    prompt += f"\n{text}\n<information>{search(queries[-1].strip())}</information>\n"
+            yield pd.DataFrame(turns, columns=["item_id", "step", "text"])
+
+    return items.select("item_id", "question").mapInPandas(loop, "item_id bigint, step int, text string")

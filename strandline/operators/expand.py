@@ -170,3 +170,38 @@ def reverse_descriptions(graph: DataFrame, names: DataFrame, allowed: tuple[str,
     named = few.join(names.toDF("p", "p_label"), "p").join(names.toDF("s", "s_label"), "s")
     said = named.withColumn("description", reverse_phrase(F.col("p_label"), F.col("s_label"))).where(F.col("description").isNotNull())
     return said.groupBy(F.col("o").alias("node")).agg(F.min_by("description", "_r").alias("description"))
+
+
+def indirect_descriptions(attributes: DataFrame, most: int = 2) -> DataFrame:
+    """(node, descriptions): the first indirect descriptions of a node's attributes (node, place, property, value), by kind of property."""
+    said = attributes.withColumn("d", indirect(F.col("property"), F.col("value"))).where(F.col("d").isNotNull())
+    few = said.withColumn("_r", F.row_number().over(Window.partitionBy("node").orderBy("place"))).where(F.col("_r") <= most)
+    return few.groupBy("node").agg(F.transform(F.sort_array(F.collect_list(F.struct("_r", "d"))), lambda x: x["d"]).alias("descriptions"))
+
+
+def expansions(attributes: DataFrame, most: int = 20) -> DataFrame:
+    """(node, direct_attributes): a node's direct attributes in order, as an array of (property, value, description), `most` at most."""
+    few = attributes.where(F.col("place") <= most)
+    item = F.struct("place", "property", "value", "description")
+    return few.groupBy("node").agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: x.dropFields("place")).alias("direct_attributes"))
+
+
+def metaphors(attributes: DataFrame) -> DataFrame:
+    """(node, description): metaphors for the first three attributes of a node."""
+    said = attributes.where(F.col("place") <= 3).select("node", metaphor(F.col("property"), F.col("value")).alias("description"))
+    return said.where(F.col("description").isNotNull()).distinct()
+
+
+def kind_chain(graph: DataFrame, names: DataFrame, kinds: tuple[str, ...] = ("P31", "P279"), parents: tuple[str, ...] = ("P279",), most: int = 5) -> DataFrame:
+    """(s, description): organisation phrases over an entity's kinds (`most` of them) and their optional parents; equal ones once."""
+    kind = graph.where(F.col("p").isin(*kinds)).withColumn("_r", F.row_number().over(Window.partitionBy("s").orderBy("p", "o"))).where(F.col("_r") <= most).select("s", F.col("o").alias("k"))
+    parent = graph.where(F.col("p").isin(*parents)).select(F.col("s").alias("k"), F.col("o").alias("u"))
+    chain = kind.join(parent, "k", "left").join(names.toDF("k", "k_label"), "k", "left").join(names.toDF("u", "u_label"), "u", "left")
+    return chain.select("s", organisation_phrase(F.col("k_label"), F.col("u_label")).alias("description")).where(F.col("description").isNotNull()).distinct()
+
+
+def era_chain(dates: DataFrame, predicates: tuple[str, ...] | None = ("P571", "P577", "P580"), most: int = 3) -> DataFrame:
+    """(s, description): the eras of an entity's dates (s, p, o = the date), the first `most` in order; equal ones once."""
+    kept = dates if predicates is None else dates.where(F.col("p").isin(*predicates))
+    few = kept.withColumn("_r", F.row_number().over(Window.partitionBy("s").orderBy("p", "o"))).where(F.col("_r") <= most)
+    return few.select("s", era_of_instant(F.col("o")).alias("description")).where(F.col("description").isNotNull()).distinct()

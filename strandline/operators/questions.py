@@ -106,3 +106,19 @@ def chosen_description(descriptions: Column, *ids: str) -> Column:
     """One of the first two descriptions, by a hash of the ids; NULL if there is none."""
     n = F.least(F.lit(2), F.size(descriptions))
     return F.when(n > 0, F.try_element_at(descriptions, (F.conv(F.substring(hash_order(*ids), 1, 4), 16, 10).cast("int") % n + 1).cast("int")))
+
+
+def abstracted_bridge(found: DataFrame, descriptions: DataFrame) -> DataFrame:
+    """(a, p1, b, p2, c, question, answer): level 3 of a bridge with labels: start and middle described, (node, description) given, where there is a description.
+
+    The far end stays the only one: a bridge is single by its nodes, which don't change by the wording.
+    """
+    start, middle = descriptions.toDF("a", "a_told"), descriptions.toDF("b", "b_told")
+    told = found.join(start, "a", "left").join(middle, "b", "left")
+    text = F.format_string("What is the %s of %s, the %s of %s?", F.col("p2_label"), F.coalesce("b_told", F.lit("something")), F.col("p1_label"), F.coalesce("a_told", "a_label"))
+    return told.select("a", "p1", "b", "p2", "c", text.alias("question"), F.col("c_label").alias("answer"))
+
+
+def by_type(records: DataFrame, bridge_form, multi_form) -> DataFrame:
+    """The level-3 form of each level-2 record (type, ...): bridges and sets of constraints by their own form, others left out."""
+    return bridge_form(records.where(F.col("type") == "bridge")).unionByName(multi_form(records.where(F.col("type") == "multi_attribute")), allowMissingColumns=True)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
@@ -20,3 +20,9 @@ def distinct_counts(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
     """(field, total_count): the number of distinct values of each column."""
     counted = rows.agg(*[F.count_distinct(c).alias(f) for f, c in columns.items()])
     return counted.select(F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("total_count")) for f in columns])))
+
+
+def observed(rows: DataFrame, name: str, **measures) -> tuple[DataFrame, Observation]:
+    """rows, and counts of them that are taken along when they are written: `rows`, and a named condition each."""
+    counts = Observation(name)
+    return rows.observe(counts, F.count(F.lit(1)).alias("rows"), *[F.count_if(c).alias(n) for n, c in measures.items()]), counts

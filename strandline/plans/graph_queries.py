@@ -174,6 +174,20 @@ def stream_current(spark, d):
     return stream_state(spark, f"{d}/triple_changes.parquet*", schema).read()
 
 
+def era_descriptions(spark, d):
+    dates = table(spark, d, "triple_changes").where("property_type = 'time'").select(F.col("entity_id").alias("s"), F.col("property_id").alias("p"), F.regexp_replace("new_value", r"^\+", "").alias("o")).distinct()
+    return expand.era_chain(dates, None)
+
+
+def abstract_bridges(spark, d):
+    found, names = mining.bridges(_known(spark, d)), _labels(spark, d)
+    for c in ("a", "p1", "b", "p2", "c"):
+        found = t.with_label(found, c, f"{c}_label", names, F.concat(F.lit("Entity_"), F.col(c)))
+    attributes = expand.direct_attributes(_labelled(spark, d)).where("place = 1")
+    told = attributes.select("node", F.concat(F.lit("something that "), F.col("description")).alias("description"))
+    return questions.abstracted_bridge(found, told).select("a", "p1", "b", "p2", "c", "question", "answer")
+
+
 FIELDS = {"subjects": "subject_id", "relations": "predicate_id", "objects": "object_id"}
 
 QUERIES = {
@@ -205,6 +219,9 @@ QUERIES = {
     "location_descriptions": lambda s, d: expand.location_chain(_known(s, d), _labels(s, d), STEPS),
     "reverse_descriptions": lambda s, d: expand.reverse_descriptions(_known(s, d), _labels(s, d), None),
     "era_counts": eras,
+    "era_descriptions": era_descriptions,
+    "node_expansions": lambda s, d: expand.expansions(expand.direct_attributes(_labelled(s, d))).select("node", F.size("direct_attributes").cast("long").alias("n"), F.concat_ws("; ", "direct_attributes.description").alias("told")),
+    "abstract_bridges": abstract_bridges,
     "level1_questions": level1_questions,
     "level2_questions": lambda s, d: _level2(s, d).select("e", "question", "answer", "sparql_verification"),
     "level3_questions": level3_questions,
@@ -324,6 +341,10 @@ SQL = {
     "era_counts": f"""SELECT CASE WHEN NOT contains(v, '-') OR {_YEAR} IS NULL THEN NULL WHEN {_YEAR} < 1900 THEN 'pre-industrial era' WHEN {_YEAR} < 1950 THEN 'early 20th century' WHEN {_YEAR} < 2000 THEN 'late 20th century' ELSE 'modern era' END AS era,
       CASE WHEN NOT contains(v, '-') OR {_YEAR} IS NULL THEN NULL WHEN {_YEAR} < 1900 THEN 'pre-modern era' WHEN {_YEAR} < 1950 THEN 'early 20th century' WHEN {_YEAR} < 2000 THEN 'late 20th century' ELSE '21st century' END AS period, count(*) AS n
       FROM (SELECT ltrim(new_value, '+') AS v FROM triple_changes WHERE property_type = 'time') GROUP BY 1, 2""",
+    "era_descriptions": f"""SELECT DISTINCT s, CASE WHEN y < 1900 THEN 'pre-modern era' WHEN y < 1950 THEN 'early 20th century' WHEN y < 2000 THEN 'late 20th century' ELSE '21st century' END AS description FROM (
+      SELECT s, CASE WHEN contains(v, '-') THEN {_YEAR} END AS y FROM (SELECT s, v FROM (SELECT DISTINCT entity_id AS s, property_id AS p, ltrim(new_value, '+') AS v FROM triple_changes WHERE property_type = 'time')
+        QUALIFY row_number() OVER (PARTITION BY s ORDER BY p, v) <= 3)) WHERE y IS NOT NULL""",
+    "node_expansions": f"WITH {_G}, {_N}, {_ATTR} SELECT node, count(*) AS n, string_agg(description, '; ' ORDER BY place) AS told FROM attr WHERE place <= 20 GROUP BY node",
     "level1_questions": f"""WITH {_G}, {_N}, {_ONE.format(g='g')} SELECT 'What is the ' || p_label || ' of ' || s_label || '?' AS question, o_label AS answer,
       'SELECT (COUNT(?object) AS ?count) WHERE {{ wd:' || s || ' wdt:' || p || ' ?object . }}' AS sparql_verification FROM ({_LABELLED}) WHERE o_label IS NOT NULL""",
     "level2_questions": f"""WITH {_K}, {_N}, {_OWN}, c AS (SELECT own.e, i, p, o, coalesce(pl.label, p) AS pl, coalesce(ol.label, o) AS ol FROM own JOIN small USING (e) LEFT JOIN n pl ON pl.id = p LEFT JOIN n ol ON ol.id = o WHERE i <= small.k)

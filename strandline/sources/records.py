@@ -85,3 +85,14 @@ def evaluation_path(data_path: str, mode: str, model: str, stamp: str, kind: str
     safe = model.translate(str.maketrans("-./", "___"))
     name = "_".join([level[0] if level else "unknown", kind, mode, safe, *["search"] * search, stamp])
     return f"outputs/evaluations/{year[0] if year else 'unknown'}/{name}.json"
+
+
+def write_evaluation(scored: DataFrame, folder: str, data_path: str, mode: str, model: str, stamp: str, search: bool = False) -> dict:
+    """Writes scored answers as JSON lines and a summary of one row beside them, and gives the summary."""
+    name = f"{model} (search)" if search else model
+    write_json_lines(scored, f"{folder}/{evaluation_path(data_path, mode, model, stamp, 'results', search)}")
+    hits = F.coalesce(F.sum(F.col("matched").cast("int")), F.lit(0)).cast("int")
+    summary = scored.agg(F.count(F.lit(1)).cast("int").alias("total_questions"), hits.alias("correct_answers"), F.coalesce(F.avg(F.col("matched").cast("double")), F.lit(0.0)).alias("accuracy"))
+    summary = summary.select(F.lit(name).alias("model"), "*", F.lit(data_path).alias("test_file"), F.lit(stamp).alias("timestamp"))
+    write_json_lines(summary, f"{folder}/{evaluation_path(data_path, mode, model, stamp, 'summary', search)}")
+    return summary.first().asDict()

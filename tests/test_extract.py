@@ -114,6 +114,18 @@ def test_replay(spark):
     assert found == {1: ("yes", 2, "answer"), 2: (evaluate.NO_OUTPUT, 0, "empty"), 3: ("x", 0, "answer"), 4: (evaluate.TOO_MANY, 10, "limit")}
 
 
+def test_live_adapters_and_evaluation_files(spark, tmp_path):
+    items = spark.createDataFrame([(1, "Who", "Ann"), (2, "What?", "Bob")], "item_id bigint, question string, expected_answer string")
+    scored = evaluate.score(evaluate.answered(items, lambda prompt: "<answer> Ann </answer>" if prompt.endswith("Who?") else None))
+    assert {(r.item_id, r.final_answer, r.matched) for r in scored.collect()} == {(1, "Ann", True), (2, evaluate.NO_OUTPUT, False)}
+    summary = records.write_evaluation(scored, str(tmp_path), "data/2025/level1.json", "DA", "m-1", "T")
+    assert (summary["total_questions"], summary["correct_answers"], summary["accuracy"]) == (2, 1, 0.5)
+    assert spark.read.json(str(tmp_path / "outputs/evaluations/2025/level1_results_DA_m_1_T.json")).count() == 2
+    client = lambda prompt: "<answer>found</answer>" if "a document" in prompt else "<search> who </search>" if "Who" in prompt else ""
+    turns = evaluate.searched(items, client, lambda query: f"a document on {query}")
+    assert {tuple(r) for r in evaluate.replay(turns).collect()} == {(1, "found", 1, "answer"), (2, evaluate.NO_OUTPUT, 0, "empty")}
+
+
 def test_streams(spark, tmp_path):
     d = "/root/testdata/sf0.001"
     changes = table(spark, d, "triple_changes")

@@ -134,6 +134,25 @@ def test_phrases(spark):
     assert one(spark, expand.metaphor(lit("film director"), lit("X"))) == "cinematic architect"
 
 
+def test_descriptions_of_nodes(spark):
+    rows = [("A", 1, "country", "Italy", "x"), ("A", 2, "genre", "none", "y"), ("A", 3, "inception", "1901-01-01", "z"), ("A", 4, "country", "France", "w"), ("B", 1, "place of birth", "Bonn", "v")]
+    df = spark.createDataFrame(rows, "node string, place bigint, property string, value string, description string")
+    assert [tuple(r) for r in expand.indirect_descriptions(df).collect()] == [("A", ["Mediterranean country", "early 20th century"])]
+    assert {tuple(r) for r in expand.metaphors(df).collect()} == {("B", "offspring of Bonn")}
+    assert {r.node: [x.value for x in r.direct_attributes] for r in expand.expansions(df, 2).collect()} == {"A": ["Italy", "none"], "B": ["Bonn"]}
+    g = spark.createDataFrame([("T", "P31", "C"), ("C", "P279", "O"), ("U", "P31", "C2"), ("T", "P571", "1850-01-01T00:00:00Z"), ("T", "P571", "+x")], FACTS)
+    names = spark.createDataFrame([("C", "Club"), ("O", "Organization"), ("C2", "Sports Team")], "id string, label string")
+    assert {tuple(r) for r in expand.kind_chain(g, names).collect()} == {("T", "organization"), ("C", "organization"), ("U", "sports team")}
+    assert {tuple(r) for r in expand.era_chain(g).collect()} == {("T", "pre-modern era")}
+    pick = spark.createDataFrame([("A", ["x"]), ("B", []), ("C", ["x", "y", "z"])], "id string, d array<string>").select("id", questions.chosen_description(F.col("d"), "id").alias("c"))
+    found = {r.id: r.c for r in pick.collect()}
+    assert found["A"] == "x" and found["B"] is None and found["C"] in ("x", "y")
+    kept, counts = stats.observed(g, "facts", dated=F.col("p") == "P571")
+    assert kept.count() == 5 and counts.get == {"rows": 5, "dated": 2}
+    records = spark.createDataFrame([("bridge", "a"), ("multi_attribute", "b"), ("other", "c")], "type string, q string")
+    assert {r.q for r in questions.by_type(records, lambda x: x.select("q"), lambda x: x.select("q")).collect()} == {"a", "b"}
+
+
 def test_level_questions_and_constraint_labels_with_colons(spark):
     sets = spark.createDataFrame([("E", "Ann", [(1, "P1", "Q1", "a: b", "c: d"), (2, "P2", "Q2", "e", "f")])], "e string, answer string, constraints array<struct<i: bigint, p: string, o: string, p_label: string, o_label: string>>")
     told = spark.createDataFrame([("Q1", "a thing")], "node string, description string")
