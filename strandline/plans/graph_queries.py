@@ -357,6 +357,8 @@ SQL = {
     "accuracy_rollup": f"WITH {_SCORED} SELECT model, level, count(*) AS n, CAST(sum(matched::INT) AS BIGINT) AS hits FROM sc JOIN demo USING (qa_id) GROUP BY ROLLUP (model, level)",
     "search_traces": """SELECT result_id, coalesce(len(list_filter(reasoning_process, lambda x: x.type = 'search')), 0) AS n_searches, coalesce(len(list_filter(reasoning_process, lambda x: x.type = 'information')), 0) AS n_informed,
       list_filter(reasoning_process, lambda x: x.type = 'search')[-1].query AS last_query FROM eval_results""",
+    "replayed_turns": f"""SELECT result_id AS item_id, CASE WHEN regexp_full_match(coalesce(model_answer, ''), ' *') THEN '{evaluate.NO_OUTPUT}' ELSE {_FINAL} END AS answer,
+      coalesce(len(list_filter(reasoning_process, lambda x: x.type = 'search')), 0) AS search_count, CASE WHEN regexp_full_match(coalesce(model_answer, ''), ' *') THEN 'empty' ELSE 'answer' END AS outcome FROM eval_results""",
     "search_snippets": """WITH r AS (SELECT entity_id, text, source, row_number() OVER (PARTITION BY entity_id ORDER BY n_chars DESC, doc_id) AS r FROM documents WHERE text IS NOT NULL),
       l AS (SELECT entity_id, string_agg('Doc ' || r || '(Title: ' || coalesce(source, 'None') || ') ' || substr(text, 1, 160), chr(10) ORDER BY r) AS information FROM r WHERE r <= 3 GROUP BY 1)
       SELECT q.s AS query_id, coalesce(information, '') AS information FROM (SELECT DISTINCT subject_id AS s FROM triples) q LEFT JOIN l ON l.entity_id = q.s""",
