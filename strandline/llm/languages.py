@@ -335,7 +335,7 @@ def language_segments(
 ) -> DataFrame:
     """(doc_id, label, segment_no, segment_lang, confidence, mixed): the segments of every document that has a language.
 
-    label is the language that `lang` names, NULL if none. Texts that are NULL, blank or without any language have no row.
+    label is the language that `lang` names, NULL if none. Texts that are NULL, blank or without any language have no row, nor have rows without an id.
     Empty input gives an empty result; rows of equal ids are documents of their own; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs, doc_id, text, lang, sample_docs))
@@ -357,7 +357,7 @@ def language_segments(
 
     schema = "doc_id bigint, label string, segment_no bigint, segment_lang string, confidence double, mixed boolean"
     plain_docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), label_language(F.col(lang)).alias("label"))
-    return plain_docs.where(F.col("text").isNotNull()).mapInPandas(assign, schema)
+    return plain_docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).mapInPandas(assign, schema)
 
 
 def mislabelled_segments(docs: DataFrame, **columns: str) -> DataFrame:

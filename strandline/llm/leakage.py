@@ -107,12 +107,12 @@ def leaked_items(
 ) -> DataFrame:
     """(doc_id, item_id): each pair of a document and an item whose texts share 12 consecutive words.
 
-    Words are the maximal runs of letters and digits, lower-cased. NULL and short texts share nothing. Rows of equal
+    Words are the maximal runs of letters and digits, lower-cased. NULL and short texts share nothing; rows without an id are left out. Rows of equal
     (doc_id, item_id) appear once per document row. Other columns are ignored. Items of at most broadcast_chars characters in
     all are sent to the workers and documents are read once, without a shuffle; larger ones are joined by fingerprint.
     """
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    items = items.select(F.col(item_id).alias("item_id"), F.col(text).alias("text"))
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull())
+    items = items.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")).where(F.col("item_id").isNotNull())
     size = items.agg(F.sum(F.length("text") + 16)).first()[0] or 0
     if size > broadcast_chars:
         return _joined(docs, items)

@@ -75,10 +75,10 @@ def test_leaks(spark, limit):
         at = r.randrange(max(1, len(source) - span))
         words[len(words) // 2 : len(words) // 2] = source[at : at + span]
         docs.append((i, r.choice([" ", ", ", " _- "]).join(words).upper()))
-    docs += [(900, None), (901, ""), (902, "x " * 20_000), (903, "ünïcode, STRASSE! straße " * 9)]
+    docs += [(None, items[2][1]), (900, None), (901, ""), (902, "x " * 20_000), (903, "ünïcode, STRASSE! straße " * 9)]
     found = leakage.leaked_items(spark.createDataFrame([(*d, "c") for d in docs], "doc_id bigint, text string, item_id string"), spark.createDataFrame(items, "item_id bigint, text string"), broadcast_chars=limit)
     rows = [tuple(x) for x in found.collect()]
-    assert len(rows) == len(set(rows)) and set(rows) == leaks(docs, items)
+    assert len(rows) == len(set(rows)) and set(rows) == {(d, i) for d, i in leaks(docs, items) if d is not None}
 
 
 def test_every_shared_span_has_a_shared_fingerprint():
@@ -103,8 +103,8 @@ def test_near_duplicates_miss_no_pair(spark, depth):
     r = random.Random(depth)
     base = ["Which river flows past the town of {} and {}?".format(*("".join(r.choices("abcdefgh", k=7)) for _ in range(2))) for _ in range(40)]
     texts = base + [edited(r, r.choice(base)) for _ in range(120)] + ["", "ab", "abcd", "ABCD!", "x" * 5000, "x" * 5000 + "y"]
-    rows = [(i, t) for i, t in enumerate(texts)] + [(900, None)]
-    normal = {i: " ".join(__import__("re").findall(r"[^\W_]+", t.lower())) for i, t in rows if t}
+    rows = [(i, t) for i, t in enumerate(texts)] + [(900, None), (None, texts[0])]
+    normal = {i: " ".join(__import__("re").findall(r"[^\W_]+", t.lower())) for i, t in rows if t and i is not None}
     expected = set()
     for (i, a), (j, b) in itertools.combinations(normal.items(), 2):
         x, y = near.grams(a), near.grams(b)
@@ -154,7 +154,7 @@ HELD_OUT = {
 def test_languages(spark):
     docs = [(i, t, None) for i, t in enumerate(HELD_OUT.values())]  # without a label they are held out
     docs += [(20, HELD_OUT["en"] + "\n\n" + HELD_OUT["sv"], "??"), (21, HELD_OUT["fr"], "EN-gb"), (22, HELD_OUT["nl"], "dut"), (23, HELD_OUT["it"], "unknown"), (24, HELD_OUT["de"], None)]
-    docs += [(30, None, "en"), (31, " \n", "en"), (32, "SELECT ?x WHERE { ?x wdt:P1 wd:Q2 . }\nhttps://a.example/b?c=d\n0af3", None), (33, HELD_OUT["en"] + ' See also "Die Geschichte von Bonn", a work by Meier.', "en")]
+    docs += [(None, HELD_OUT["en"], "de"), (30, None, "en"), (31, " \n", "en"), (32, "SELECT ?x WHERE { ?x wdt:P1 wd:Q2 . }\nhttps://a.example/b?c=d\n0af3", None), (33, HELD_OUT["en"] + ' See also "Die Geschichte von Bonn", a work by Meier.', "en")]
     learn_from = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").selectExpr("doc_id + 1000 AS doc_id", "text", "lang")
     df = spark.createDataFrame([(*d, "clash") for d in docs], "doc_id bigint, text string, lang string, label string")
     found = languages.language_segments(df.select("doc_id", "text", "lang").unionAll(learn_from)).where("doc_id < 1000").collect()
@@ -194,7 +194,7 @@ def fitted_on(spark):
 
 
 def test_pair_defects(spark, fitted_on):
-    rows = [("own", i, p, r) for i, (p, r, _) in enumerate(PAIRS)] + [("own", 100, None, "Mosel"), ("own", 101, "", ""), ("own", 102, "Which river?", "word " * 30_000 + "end.")]
+    rows = [("own", i, p, r) for i, (p, r, _) in enumerate(PAIRS)] + [("own", 100, None, "Mosel"), ("own", 101, "", ""), ("own", None, "Who?", ""), ("own", 102, "Which river?", "word " * 30_000 + "end.")]
     df = spark.createDataFrame(rows, "item_table string, item_id bigint, prompt string, response string").unionAll(fitted_on)
     found = {r.item_id: r.defect for r in pairs.pair_defects(df).where("item_table = 'own'").collect()}
     assert found == {i: d for i, (_, _, d) in enumerate(PAIRS) if d} | {101: "empty"}
