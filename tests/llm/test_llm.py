@@ -201,6 +201,40 @@ def test_pair_defects(spark, fitted_on):
     assert pairs.pair_defects(fitted_on.limit(0)).count() == 0
 
 
+def test_ends_are_counted_over_all_pairs(spark, fitted_on):
+    """An ending too rare to be in the sample of the field is known from the rows outside it."""
+    rows = [("own", i, f"Which river crosses Tolbru {i}?", f"Mosel is the answer, by the quillbook{'.' if i else ''}") for i in (0, 2, 4, 9, 12, 15)]
+    own = spark.createDataFrame(rows, "item_table string, item_id bigint, prompt string, response string")
+    sampled = pairs._sample(own.unionAll(fitted_on), 1000)
+    assert not any("quillbook" in r for _, r in sampled)
+    assert pairs.pair_defects(own.unionAll(fitted_on), 1000).where("item_table = 'own'").collect() == []
+    cut = own.where("item_id = 0").unionAll(fitted_on)  # nothing else ends like that
+    assert [r.defect for r in pairs.pair_defects(cut, 1000).where("item_table = 'own'").collect()] == ["truncated"]
+
+
+def test_a_part_of_a_word_met_once_elsewhere_is_no_word(spark, fitted_on):
+    rows = [("own", i, "Which river crosses Tolbru?", f"The answer is Mosel {i}, as recorded in the quillb") for i in range(3)]
+    rows.append(("own", 9, "Which river has the quillb ook of Tolbru?", "Mosel"))
+    own = spark.createDataFrame(rows, "item_table string, item_id bigint, prompt string, response string")
+    found = pairs.pair_defects(own.unionAll(fitted_on)).where("item_table = 'own'").collect()
+    assert {(r.item_id, r.defect) for r in found} == {(i, "truncated") for i in range(3)}
+
+
+def test_tails_are_counted_at_every_place():
+    shapes = [["<", "a", "b"], ["<", "b"], ["<"], ["<", "c", "a", "b", "a", "b", "a", "b"]]
+    tails = pairs.Tails()
+    ends, passes = {}, {}
+    for s in shapes:
+        for i in range(1, len(s)):
+            for n in range(1, min(pairs.TAIL, i + 1) + 1):
+                into = ends if i == len(s) - 1 else passes
+                into[tuple(s[i + 1 - n : i + 1])] = into.get(tuple(s[i + 1 - n : i + 1]), 0) + 1
+    key = lambda t: int(list(tails.keys([list(t)]))[len(t) - 1][1][-1:].view(np.int64)[0])
+    found = {r.tail: (r.ends, r.passes) for r in tails.counts(shapes, np.ones(1 << pairs.FILTER_BITS, bool)).itertuples()}
+    assert found == {key(t): (ends.get(t, 0), passes.get(t, 0)) for t in {*ends, *passes}}
+    assert len(tails.counts([], np.ones(1 << pairs.FILTER_BITS, bool))) == 0
+
+
 def test_chain_field_learns_a_pattern():
     r = random.Random(0)
     chains, tags = [], []
