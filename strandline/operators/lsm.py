@@ -1,8 +1,9 @@
 """Current state of a table from a change feed, by a log-structured merge tree on bucketed tables.
 
-A run holds the newest version of each of its keys, deletions as tombstones, bucketed and sorted by key and sequence.
+A run holds the newest version of each of its keys, deletions as tombstones, bucketed and sorted by key (once per key).
 Runs are only ever appended. All runs of a table share their buckets, so a reader merges the k runs bucket by bucket
-without a shuffle. When a level holds `fanout` runs, they are merged into one run of the next level.
+without a shuffle; the merge is an aggregation by key, not a walk over the k sorted runs side by side. When a level holds
+`fanout` runs, they are merged into one run of the next level.
 """
 
 from __future__ import annotations
@@ -93,11 +94,11 @@ class MergeTree:
         )
 
 
-def current_state(changes: DataFrame, runs: int = 4, buckets: int | None = None) -> DataFrame:
+def current_state(changes: DataFrame, runs: int = 10, buckets: int | None = None) -> DataFrame:
     """(entity_id, property_id, current_value): the newest value of each key that its newest change doesn't delete.
 
-    The feed is appended in `runs` stretches of arrival (feed_pos), as it would come over time, and read through the merge
-    of the runs. Newest is by instant, then revid; of copies of a change the first delivered counts. A change whose
+    The feed is appended in `runs` stretches of arrival (feed_pos), as it would come over time, more than the tree's fanout, so
+    that the first ones are compacted, and read through the merge of the runs. Newest is by instant, then revid; of copies of a change the first delivered counts. A change whose
     instant can't be read is older than all others; a NULL revid is older than others of its instant; a NULL change type
     is no deletion. NULL keys are keys. Empty input gives an empty result; further columns are ignored.
     """

@@ -113,6 +113,15 @@ def test_current_state(spark, seed):
     assert {tuple(r) for r in current_state(spark.createDataFrame(rows, SCHEMA), buckets=4).collect()} == expected
 
 
+def test_current_state_compacts(spark, monkeypatch):
+    compacted, compact = [], MergeTree.compact
+    monkeypatch.setattr(MergeTree, "compact", lambda tree, level: (compacted.append(len(tree.levels[level])), compact(tree, level)))
+    rows = feed(10)
+    expected = {(*key, c[-1][3]) for key, c in ordered(rows).items() if c[-1][4] != "deleted"}
+    assert {tuple(r) for r in current_state(spark.createDataFrame(rows, SCHEMA), buckets=4).collect()} == expected
+    assert compacted == [8]
+
+
 def test_merge_tree_compacts_and_keeps_tombstones(spark):
     rows = feed(10)
     expected = {(*key, c[-1][3]) for key, c in ordered(rows).items() if c[-1][4] != "deleted"}
