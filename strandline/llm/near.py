@@ -292,11 +292,19 @@ def near_duplicate_pairs(rows: DataFrame, id_column: str = "qa_id", text_column:
 def near_duplicate_classes(rows: DataFrame, id_column: str = "qa_id", text_column: str = "question", likeness: float = LIKENESS) -> DataFrame:
     """(<id>, class_id, n_links): each row, the smallest id among its exact copies, and the number of other texts it is like.
 
-    The form for groups of any size: copies aren't expanded into pairs. Rows without a gram have no class.
+    The form for groups of any size: copies aren't expanded into pairs. Every row with an id comes out. Copies are rows of equal normal
+    texts, those of under 4 characters too, which are like no other text; a NULL text is a copy of none and its row is its own class.
     """
     members = _members(rows, id_column, text_column)
     texts = members.groupBy("id").agg(F.first("text").alias("text"), F.min("row_id").alias("class_id"))
     found = alike_texts(texts.select("id", "text"), likeness)
     links = found.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     classes = texts.select("id", "class_id").join(links, "id", "left")
-    return members.join(classes, "id").select(F.col("row_id").alias(id_column), "class_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    found_in = members.join(classes, "id").select(F.col("row_id").alias(id_column), "class_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    text = normal_text(F.col(text_column))
+    rest = rows.select(F.col(id_column).alias("row_id"), text.alias("text")).where(F.col("row_id").isNotNull() & (text.isNull() | (F.length(text) < GRAM)))
+    none = rest.where(F.col("text").isNull()).select(F.col("row_id").alias(id_column), F.col("row_id").alias("class_id"))
+    short = rest.where(F.col("text").isNotNull())
+    first = short.groupBy("text").agg(F.min("row_id").alias("class_id"))
+    short = short.join(first, "text").select(F.col("row_id").alias(id_column), "class_id")
+    return found_in.unionByName(short.unionByName(none).withColumn("n_links", F.lit(0).cast("long")))

@@ -126,6 +126,12 @@ def test_near_duplicates_miss_no_pair(spark, depth):
         assert near.near_duplicate_pairs(df.limit(0)).count() == 0
 
 
+def test_classes_have_every_row_with_an_id(spark):
+    rows = [(5, "Who"), (3, "who?"), (9, "Qué"), (7, None), (8, None), (4, "?"), (2, " "), (None, "Who"), (11, "Which river?"), (10, "which river"), (12, "Which river")]
+    found = near.near_duplicate_classes(spark.createDataFrame(rows, "qa_id bigint, question string")).collect()
+    assert sorted(map(tuple, found)) == [(2, 2, 0), (3, 3, 0), (4, 2, 0), (5, 3, 0), (7, 7, 0), (8, 8, 0), (9, 9, 0), (10, 10, 0), (11, 10, 0), (12, 10, 0)]
+
+
 def test_covering_masks_cover_every_few_grams():
     r = np.random.default_rng(2)
     for _ in range(100):
