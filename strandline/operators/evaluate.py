@@ -92,17 +92,18 @@ def traced_searches(results: DataFrame) -> DataFrame:
     ).withColumns({c: F.when(F.col(c) < 0, F.lit(0).cast("long")).otherwise(F.col(c)) for c in ("n_searches", "n_informed")})
 
 
-def snippets(documents: DataFrame, queries: DataFrame, top: int = 3) -> DataFrame:
+def snippets(documents: DataFrame, queries: DataFrame, top: int = 3, chars: int | None = None) -> DataFrame:
     """(query_id, information): the first `top` documents of each entity that a query names, as the lines of a search result.
 
-    queries = (query_id, entity_id). The ranking is by length, longest first, then id: an offline stand-in for a search service.
+    queries = (query_id, entity_id). The ranking is by length, longest first, then id: an offline stand-in for a search service. Words
+    of a query play no part in it. A line has the whole text, or its first `chars` characters.
     """
     from pyspark.sql import Window
 
     titled = documents.where(F.col("text").isNotNull()).select("entity_id", "doc_id", "source", "text", "n_chars")
     rank = F.row_number().over(Window.partitionBy("entity_id").orderBy(F.col("n_chars").desc(), "doc_id"))
     few = titled.withColumn("r", rank).where(F.col("r") <= top)
-    line = F.format_string("Doc %d(Title: %s) %s", F.col("r"), F.coalesce("source", F.lit("None")), F.substring("text", 1, 160))
+    line = F.format_string("Doc %d(Title: %s) %s", F.col("r"), F.coalesce("source", F.lit("None")), F.col("text") if chars is None else F.substring("text", 1, chars))
     lists = few.groupBy("entity_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", line.alias("l")))), lambda x: x["l"]), "\n").alias("information"))
     return queries.join(lists, "entity_id", "left").select("query_id", F.coalesce("information", F.lit("")).alias("information"))
 

@@ -152,7 +152,7 @@ def tags(spark, d):
 
 def search_lines(spark, d):
     wanted = table(spark, d, "triples").select(F.col("subject_id").alias("query_id"), F.col("subject_id").alias("entity_id")).distinct()
-    return evaluate.snippets(table(spark, d, "documents"), wanted)
+    return evaluate.snippets(table(spark, d, "documents"), wanted, chars=160)  # as the SQL has it
 
 
 def replayed(spark, d):
