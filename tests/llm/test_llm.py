@@ -14,6 +14,7 @@ tokenizers = pytest.importorskip("public_tokenizers")
 
 from strandline.llm import bpe, languages, leakage, near, pairs
 from strandline.llm.lookup import Lookup
+from pyspark.sql import functions as F
 
 ODD = [None, "", " ", "\n\n", "x" * 3000, "ä" * 700, "的" * 600, "​", "a b  c   d", "don't I'LL", "１２3 ½", "🙂👩‍🔬 é", "<|endoftext|>", "\t\r\n mixed 　 blanks "]
 
@@ -203,19 +204,18 @@ def test_pair_defects(spark, fitted_on):
     rows = [("own", i, p, r) for i, (p, r, _) in enumerate(PAIRS)] + [("own", 100, None, "Mosel"), ("own", 101, "", ""), ("own", None, "Who?", ""), ("own", 102, "Which river?", "word " * 30_000 + "end.")]
     df = spark.createDataFrame(rows, "item_table string, item_id bigint, prompt string, response string").unionAll(fitted_on)
     found = {r.item_id: r.defect for r in pairs.pair_defects(df).where("item_table = 'own'").collect()}
-    assert found == {i: d for i, (_, _, d) in enumerate(PAIRS) if d} | {101: "empty"}
+    assert found == {i: d for i, (_, _, d) in enumerate(PAIRS) if d} | {101: "empty", None: "empty"}
     assert pairs.pair_defects(fitted_on.limit(0)).count() == 0
 
 
 def test_ends_are_counted_over_all_pairs(spark, fitted_on):
     """An ending too rare to be in the sample of the field is known from the rows outside it."""
-    rows = [("own", i, f"Which river crosses Tolbru {i}?", f"Mosel is the answer, by the quillbook{'.' if i else ''}") for i in (0, 2, 4, 9, 12, 15)]
+    rows = [("own", i, f"Which river crosses Tolbru {i}?", f"Mosel is the answer, by the quillbook{'.' if i % 7 else ''}") for i in range(40)]
     own = spark.createDataFrame(rows, "item_table string, item_id bigint, prompt string, response string")
-    sampled = pairs._sample(own.unionAll(fitted_on), 1000)
-    assert not any("quillbook" in r for _, r in sampled)
+    sampled = {p for p, r in pairs._sample(own.unionAll(fitted_on), 1000) if "quillbook" in r}
+    own = own.where(~F.col("prompt").isin(list(sampled)))
+    assert not any("quillbook" in r for _, r in pairs._sample(own.unionAll(fitted_on), 1000)) and own.where("NOT endswith(response, '.')").count()
     assert pairs.pair_defects(own.unionAll(fitted_on), 1000).where("item_table = 'own'").collect() == []
-    cut = own.where("item_id = 0").unionAll(fitted_on)  # nothing else ends like that
-    assert [r.defect for r in pairs.pair_defects(cut, 1000).where("item_table = 'own'").collect()] == ["truncated"]
 
 
 def test_a_part_of_a_word_met_once_elsewhere_is_no_word(spark, fitted_on):
@@ -226,6 +226,73 @@ def test_a_part_of_a_word_met_once_elsewhere_is_no_word(spark, fitted_on):
     assert {(r.item_id, r.defect) for r in found} == {(i, "truncated") for i in range(3)}
 
 
+#: Refusals that the module doesn't have, and a response of each other kind made of a whole one.
+DECLINED = ("I'd rather leave that for others to answer.", "Sorry, that is something I can't go into.", "I have nothing to say about this matter.", "We are not allowed to answer such questions.")
+
+
+def planted(spark, fitted_on, n=400):
+    """(prompt, response, defect) of whole responses of several words and of defects made of them."""
+    r = random.Random(5)
+    rows = [x for x in fitted_on.where("response rlike '^[A-Z].* .* .* .*[.]$' and prompt like 'W%?'").orderBy("item_table", "item_id").limit(4 * n).collect()]
+    judged = {(x.item_table, x.item_id) for x in pairs.pair_defects(fitted_on).collect()}
+    whole = [x for x in rows if (x.item_table, x.item_id) not in judged][:n]
+    foreign = ["La réponse est {}, comme l'indique le registre.", "Die Antwort lautet {}, wie es im Verzeichnis steht.", "La respuesta es {}, como figura en el registro."]
+    out = []
+    for k, x in enumerate(whole):
+        name = f"Tolb{k}ru".translate(str.maketrans("0123456789", "aeioubdgkl"))
+        kind = k % 6
+        if kind == 0:
+            out.append((x.prompt, x.response, None))
+        elif kind == 1:
+            out.append((x.prompt, x.response.rstrip("."), None))
+        elif kind == 2:
+            words = x.response.split()
+            cut = [i for i in range(2, len(words) - 1) if words[i][0].islower() and len(words[i]) > 4]
+            out.append((x.prompt, " ".join(words[: cut[0]] + [words[cut[0]][:2]]) if cut else x.response, "truncated" if cut else None))
+        elif kind == 3:
+            out.append((x.prompt, r.choice(["{}", "{} {}", "Prompt: {}"]).replace("{}", x.prompt), "copy"))
+        elif kind == 4:
+            out.append((x.prompt, r.choice(foreign).format(name), "other_language"))
+        else:
+            out.append((x.prompt, r.choice(DECLINED), "refusal"))
+    return out
+
+
+def by_rules(parts, end):
+    """What thresholds on the same measures and the words of REFUSING would say."""
+    said = {w for own in pairs.REFUSING.values() for s in own for w in pairs.alnum.findall(s.lower())}
+    if all(p.said >= 0.85 and p.repeats >= 0.4 for p in parts):
+        return "copy"
+    if parts[-1].end is True or isinstance(parts[-1].end, pairs.Ending) and end and end.n and end.share < 0.34:
+        return "truncated"
+    if any(p.foreign >= 1.2 for p in parts):
+        return "other_language"
+    if all(sum(w in said for w in p.shape[1:]) > 0.6 * len(p.shape[1:]) and not p.news for p in parts):
+        return "refusal"
+    return None
+
+
+def test_the_field_decides_and_is_better_than_rules_on_its_measures(spark, fitted_on):
+    rows = planted(spark, fitted_on)
+    own = spark.createDataFrame([("own", i, p, r) for i, (p, r, _) in enumerate(rows)], "item_table string, item_id bigint, prompt string, response string")
+    judge, ends = pairs.fit_judge(own.unionAll(fitted_on))
+    keyed = own.withColumn("key", pairs._response_key()).join(ends, "key", "left").orderBy("item_id").collect()
+    texts = [(r.prompt, pairs.readable(r.response)) for r in keyed]
+    met = [pairs.End(r.known, r.open, r.share, r.n) if r.n is not None else None for r in keyed]
+    found = judge.defects(texts, met)
+    parts = pairs.described([(p, pairs.clauses(r)) for p, r in texts], judge.habits)
+    rules = [by_rules(cs, e) for cs, e in zip(parts, met)]
+    true = [d for _, _, d in rows]
+    right = lambda said: sum(a == b for a, b in zip(said, true)) / len(true)
+    differ = [(a, b, t) for a, b, t in zip(found, rules, true) if a != b]
+    print(f"field {right(found):.3f}, rules {right(rules):.3f}; differ on {len(differ)} of {len(true)}, field right on {sum(a == t for a, _, t in differ)}, rules on {sum(b == t for _, b, t in differ)}")
+    hits = sum(a == t for a, t in zip(found, true) if t)
+    assert hits >= 0.97 * sum(t is not None for t in true) and hits >= 0.97 * sum(a is not None for a in found)
+    assert differ and sum(a == t for a, _, t in differ) > 2 * sum(b == t for _, b, t in differ)
+    off = pairs.Judge(judge.habits, pairs.ChainField(np.zeros_like(judge.field.weights), np.zeros_like(judge.field.steps)))
+    assert not any(off.defects(texts, met))  # without the field nothing is found
+
+
 def test_tails_are_counted_at_every_place():
     shapes = [["<", "a", "b"], ["<", "b"], ["<"], ["<", "c", "a", "b", "a", "b", "a", "b"]]
     tails = pairs.Tails()
@@ -248,5 +315,14 @@ def test_chain_field_learns_a_pattern():
         n = r.randrange(1, 5)
         tags.append([r.choice([pairs.ANSWER, pairs.REFUSAL]) for _ in range(n)])
         chains.append([[1, 10 + t, 20 + r.randrange(5)] for t in tags[-1]])
-    field = pairs.ChainField.fit(chains, tags, rounds=20)
-    assert all(field.tag(c) == t for c, t in zip(chains, tags))
+    field = pairs.ChainField.fit(chains, [[{t} for t in ts] for ts in tags])
+    assert field.tag(chains) == tags and field.tag([]) == []
+
+
+def test_chain_field_learns_from_places_with_several_tags():
+    """Half of the places say only what they may be; their features tell."""
+    r = random.Random(1)
+    true = [[r.choice([pairs.ANSWER, pairs.REFUSAL, pairs.ECHO]) for _ in range(r.randrange(1, 4))] for _ in range(400)]
+    chains = [[[1, 10 + t, 20 + r.randrange(5)] for t in ts] for ts in true]
+    allowed = [[{t} if r.random() < 0.5 else {t, pairs.FOREIGN, (t + 1) % 3} for t in ts] for ts in true]
+    assert pairs.ChainField.fit(chains, allowed).tag(chains) == true
