@@ -1,31 +1,37 @@
-"""Groups of nearly equal texts, by covering locality-sensitive hashing.
+"""Groups of nearly equal texts, by covering locality-sensitive hashing over shared grams.
 
-Texts are sets of their distinct 4-character substrings (grams). Texts of sizes a, b and likeness (Jaccard) at least T differ in
-at most (1 - T) / (1 + T) * (a + b) grams. All grams are spread over `parts` parts by hash, so that texts within that radius
-differ in at most R grams of some part. Inside a part every gram has a code of R + 1 bits; a table belongs to each
-non-zero mask of R + 1 bits and looks at the grams whose code has odd parity under the mask. For R differing grams some
-mask is even on all their codes, so the two texts look alike in that table: no pair within the radius is missed.
+Texts are sets of their distinct 4-character substrings (grams). Texts x and y of likeness (Jaccard) at least T share at least
+T * max(|x|, |y|) grams. Put all grams into one fixed order, rarest first: then the first |x| - ceil(T * max(|x|, |y|)) + s grams of x and
+as many less of y share at least s grams. Every gram has a code, one of `classes` bits; a mask per class looks at the grams of this prefix
+that have its bit, and a table per mask has a key for each `depth` grams that it looks at together. With (depth - 1) * classes < s some
+mask sees `depth` shared grams, so the two texts have a key in common: no pair within the radius is missed, whatever the order
+of the grams and the codes are.
 
-The radius follows the size, so tables belong to bands of the larger size of a pair. Texts that share a table's key are
-compared by the parity bits of their grams (a bound that never loses a pair), and what is left by the grams themselves.
+The masks of the plain scheme cover the grams in which two texts differ. It was built and measured before this one: texts of one
+template differ in only about 1.7 times as many grams as the radius allows, so each pair of them met several times (3.4 comparisons a pair
+of texts in all); the README has the figures. Masks over what is shared, rarest first, never look at the template.
+
+Keys that many texts have are cut into tiles. Texts with a key in common are compared by the parity bits of their grams
+(a bound that never loses a pair), and what is left by the grams themselves.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.session import scratch_path
+
 LIKENESS = 0.65
 GRAM = 4
-#: The bands of sizes grow by this factor.
-BAND = 1.3
 #: Low bits of a key that hold the text's size; larger sizes stand as the largest and are let through to the exact comparison.
 SIZE_BITS = 14
 LARGEST = (1 << SIZE_BITS) - 1
@@ -34,44 +40,46 @@ WORDS = 3
 BLOCK = 256
 #: Up to this size the buckets of one size are compared together.
 SMALL = 24
+#: Slots in which grams and keys are counted: 4 MB for the order of grams and 1 MB for keys with many texts, whatever the corpus.
+SLOT_BITS, KEY_BITS = 20, 16
+#: Keys are counted over one text in so many; a key with more rows than TILE by that count is cut into tiles of about TILE rows a side.
+COUNTED = 8
+TILE = 8192
+#: Texts of the sample by which the depth is chosen, and what a row and a comparison cost in seconds, as measured.
+PLAN_TEXTS = 768
+ROW_S, COMPARISON_S = 2.5e-6, 5e-9
 
 
-def normal_text(text: Column) -> Column:
-    """Lower case, one blank for each run of anything but letters and digits, trimmed."""
-    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
-
-
-@lru_cache(2_000)
-def grams(text: str) -> frozenset[str]:
-    return frozenset(text[i : i + GRAM] for i in range(len(text) - GRAM + 1))
+@dataclass(frozen=True)
+class Plan:
+    """Of the shared grams, `share` of the least size of a band are looked for, and `depth` of them make a key; every plan is exact.
 
+    Bands are those of the larger size of a pair, each from a power of 2 to the next, so that a text's keys grow with its size and no faster.
+    """
 
-def radius(sizes: float, likeness: float) -> int:
-    """The most grams in which two texts of that size in all may differ."""
-    return math.floor((1 - likeness) / (1 + likeness) * sizes + 1e-9)
+    share: float
+    depth: int
 
+    @lru_cache(None)  # noqa: B019  three plans
+    def band(self, band: int, likeness: float) -> tuple[int, int, int]:
+        """(s, depth, classes) of the band of sizes from 1 << band: s shared grams are sure."""
+        low = 1 << band
+        shared = min(math.ceil(likeness * low - 1e-9), max(self.depth, int(self.share * low)))
+        depth = min(self.depth, shared)
+        return shared, depth, -(-shared // (depth - 1)) - 1 if depth > 1 else 1
 
-def band_top(band: int) -> int:
-    """The largest size in a band."""
-    return math.ceil(BAND ** (band + 1)) - 1
 
+PLANS = (Plan(0.14, 2), Plan(0.18, 3), Plan(0.3, 4))
 
-def band_of(size: int) -> int:
-    band = max(0, int(math.log(size) / math.log(BAND)))
-    while band_top(band) < size:
-        band += 1
-    while band and band_top(band - 1) >= size:
-        band -= 1
-    return band
 
+def normal_text(text: Column) -> Column:
+    """Lower case, one blank for each run of anything but letters and digits, trimmed."""
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
-def default_depth(texts: int) -> int:
-    """R by the number of texts: one more for each factor of 4 above 350,000.
 
-    By measured costs: R = 2, 3, 4, 5 make about 320, 540, 910, 1550 rows a text, 2.5 microseconds each, and 0.86, 0.45, 0.33, 0.21
-    comparisons per square of the texts, 5 nanoseconds each; the sum of both is least at about these numbers of texts.
-    """
-    return 2 + max(0, math.ceil(math.log(max(texts, 1) / 350_000, 4)))
+@lru_cache(2_000)
+def grams(text: str) -> frozenset[str]:
+    return frozenset(text[i : i + GRAM] for i in range(len(text) - GRAM + 1))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -80,74 +88,151 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def gram_hashes(text: str) -> np.ndarray:
-    """A hash per distinct gram."""
-    points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
-    if len(points) < GRAM:
-        return np.zeros(0, np.uint64)
-    n = len(points) - GRAM + 1
+def gram_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A hash per distinct gram of each text, in order, one text after another; and the number of each text's."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    length = np.fromiter(map(len, texts), np.int64, len(texts))
+    n = max(0, len(points) - GRAM + 1)
     value = np.zeros(n, np.uint64)
     for j in range(GRAM):
         value = _mixed(value + points[j : j + n])
-    return np.unique(value)
+    owner = np.repeat(np.arange(len(texts)), length)[:n]
+    inside = np.arange(n) + GRAM <= np.cumsum(length)[owner]
+    value, owner = value[inside], owner[inside]
+    order = np.lexsort((value, owner))
+    value, owner = value[order], owner[order]
+    fresh = np.ones(len(value), bool)
+    fresh[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
+    return value[fresh], np.bincount(owner[fresh], minlength=len(texts))
+
+
+def parity_bits(hashes: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """WORDS words of bits a text, each the parity of the grams that fall on it: two texts differ in at least as many grams as bits."""
+    place = ((hashes >> np.uint64(32)) % np.uint64(64 * WORDS)).astype(np.int64)
+    owner = np.repeat(np.arange(len(size)), size)
+    odd = np.bincount(owner * 64 * WORDS + place, minlength=len(size) * 64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(len(size), -1), axis=1).view(np.int64)
+
+
+def blocks(texts: list[str], most: int = 400_000) -> Iterator[slice]:
+    """Slices of texts of about `most` characters, a longer text by itself."""
+    begin, total = 0, 0
+    for i, text in enumerate(texts):
+        if total and total + len(text) > most:
+            yield slice(begin, i)
+            begin, total = i, 0
+        total += len(text)
+    if texts:
+        yield slice(begin, len(texts))
+
+
+def slot_of(hashes: np.ndarray, bits: int = SLOT_BITS) -> np.ndarray:
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
+
+
+@lru_cache(64)
+def _subsets(n: int, depth: int) -> np.ndarray:
+    """The places of all `depth` of n things, a row each."""
+    rows = np.arange(n)[:, None]
+    for _ in range(depth - 1):
+        rows = np.concatenate([np.concatenate([np.repeat(rows[i : i + 1], n - rows[i, -1] - 1, axis=0), np.arange(rows[i, -1] + 1, n)[:, None]], axis=1) for i in range(len(rows))]) if len(rows) else np.zeros((0, rows.shape[1] + 1), np.int64)
+    return rows
+
+
+def text_keys(hashes: np.ndarray, size: np.ndarray, often: np.ndarray, plan: Plan, likeness: float) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of texts in all tables of the bands that a pair with them may be in, and the text that each key is of."""
+    owner = np.repeat(np.arange(len(size)), size)
+    ordered = hashes[np.lexsort((hashes, often[slot_of(hashes)], owner))]
+    place = np.arange(len(hashes)) - np.repeat(np.cumsum(size) - size, size)
+    codes = _mixed(ordered)
+    lowest = np.frexp(np.maximum(size, 1))[1] - 1
+    highest = np.frexp(np.maximum(1, np.floor(size / likeness + 1e-9)))[1] - 1
+    keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for band in range(int(lowest.min(initial=1)), int(highest.max(initial=0)) + 1):
+        shared, depth, classes = plan.band(band, likeness)
+        fewest = np.ceil(likeness * np.maximum(size, 1 << band) - 1e-9).astype(np.int64)
+        length = np.where((lowest <= band) & (band <= highest), np.minimum(size, size - fewest + shared), 0)
+        seen = place < length[owner]
+        group = owner[seen] * classes + (codes[seen] % np.uint64(classes)).astype(np.int64)
+        order = np.lexsort((ordered[seen], group))
+        group, seen_grams = group[order], ordered[seen][order]
+        begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
+        count = np.diff(np.append(begin, len(group)))
+        for n in np.unique(count[count >= depth]).tolist():
+            chosen = begin[count == n]
+            subsets = _subsets(n, depth)
+            key = np.repeat((group[chosen] % classes + (band << 32) + 1).astype(np.uint64)[:, None], len(subsets), axis=1)
+            grams_ = seen_grams[chosen[:, None] + np.arange(n)]
+            for column in subsets.T:
+                key = _mixed(key + grams_[:, column])
+            keys.append(key.ravel())
+            owners.append(np.repeat(group[chosen] // classes, len(subsets)))
+    return np.concatenate(keys), np.concatenate(owners)
+
+
+def _summed(texts: DataFrame, count, bits: int) -> np.ndarray:
+    """The sum over all texts of count(hashes, sizes) -> slots, in 1 << bits slots; added up per task before the shuffle."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << bits, np.int64)
+        for batch in batches:
+            listed = batch.column(0).to_pylist()
+            for block in blocks(listed):
+                total += np.bincount(count(*gram_hashes(listed[block])), minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "n"])
 
+    summed = texts.select("text").mapInArrow(add, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(1 << bits, np.int64)
+    out[summed["slot"].to_numpy(np.int64)] = summed["n"].to_numpy(np.int64)
+    return out
 
-def parity_bits(hashes: np.ndarray) -> list[int]:
-    """WORDS words of bits, each the parity of the grams that fall on it: two texts differ in at least as many grams as bits."""
-    place = ((hashes >> np.uint64(32)) % np.uint64(64 * WORDS)).astype(np.int64)
-    return np.packbits((np.bincount(place, minlength=64 * WORDS) & 1).astype(np.uint8)).view(np.int64).tolist()
+
+def gram_counts(texts: DataFrame) -> np.ndarray:
+    """How many texts have a gram of each slot, over all texts: the order of the grams."""
+    return np.minimum(_summed(texts, lambda hashes, _: slot_of(hashes), SLOT_BITS), 2**31 - 1).astype(np.int32)
 
 
-@lru_cache(1000)
-def _masks(band: int, depth: int, likeness: float) -> tuple[int, int, np.ndarray, np.ndarray]:
-    """Of a band: the number of parts and of codes, which codes have odd parity under which mask, and a salt per table."""
-    most = radius(2 * band_top(band), likeness)
-    depth = min(depth, most)
-    parts, codes = most // (depth + 1) + 1, 1 << (depth + 1)
-    odd = np.array([[bin(c & v).count("1") & 1 for v in range(1, codes)] for c in range(codes)], np.uint64)
-    table = np.arange(parts * (codes - 1), dtype=np.uint64).reshape(parts, codes - 1) + np.uint64(band << 40)
-    return parts, codes, odd, _mixed(table + np.uint64(1))
+def choose_plan(texts: DataFrame, often: np.ndarray, likeness: float = LIKENESS) -> Plan:
+    """The plan of least cost, by the rows and the squares of the bucket sizes of at most PLAN_TEXTS texts, scaled up. Any plan finds the same pairs."""
+    many = texts.count()
+    share = int(min(1.0, 1.2 * PLAN_TEXTS / max(1, many)) * (1 << 30))
+    sample = texts.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 30)) < share).select("text").limit(PLAN_TEXTS).collect()
+    hashed = gram_hashes([r.text for r in sample])
 
+    def cost(plan: Plan) -> float:
+        keys = text_keys(*hashed, often, plan, likeness)[0]
+        _, n = np.unique(keys, return_counts=True)
+        scale = many / max(1, len(sample))
+        return len(keys) * scale * ROW_S + float((n * (n - 1.0)).sum()) / 2 * scale * scale * COMPARISON_S
 
-def table_keys(hashes: np.ndarray, band: int, depth: int, likeness: float) -> np.ndarray:
-    """The keys of a text in all tables of a band."""
-    parts, codes, odd, salt = _masks(band, depth, likeness)
-    part, code = (hashes & np.uint64(0xFFFFFFFF)) % np.uint64(parts), (hashes >> np.uint64(40)) % np.uint64(codes)
-    sums = np.zeros(parts * codes, np.uint64)
-    np.add.at(sums, (part * np.uint64(codes) + code).astype(np.int64), _mixed(hashes))
-    return _mixed((sums.reshape(parts, codes) @ odd) ^ salt).ravel()
+    return min(PLANS, key=cost)
 
 
-def _tables(texts: DataFrame, depth: int, likeness: float) -> DataFrame:
-    """(key, id, bits0, ...): every text in every table of the bands of its possible partners."""
+def _tables(texts: DataFrame, often, tiles, plan: Plan, likeness: float) -> DataFrame:
+    """(key, id, bits0, ...): every text under each of its keys; under a key of n tiles in a row and a column of them. often, tiles: broadcast."""
     names = ["key", "id", *[f"bits{i}" for i in range(WORDS)]]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, rows = [], []
-
-            def flush():
-                count = np.array([len(k) for k in keys])
-                held = [np.repeat(np.array(column, np.int64), count) for column in zip(*rows)]
-                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *map(pa.array, held)], names=names)
-
-            total = 0
-            for text_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                hashes = gram_hashes(text)
-                size = len(hashes)
-                if not size:
-                    continue
-                bits = parity_bits(hashes)
-                for band in range(band_of(size), band_of(math.floor(size / likeness + 1e-9)) + 1):
-                    key = table_keys(hashes, band, depth, likeness)
-                    keys.append(key & np.uint64(~LARGEST & (2**64 - 1)) | np.uint64(min(size, LARGEST)))
-                    rows.append((text_id, *bits))
-                    total += len(key)
-                if total > 200_000:
-                    yield flush()
-                    keys, rows, total = [], [], 0
-            if keys:
-                yield flush()
+            ids, listed = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            for block in blocks(listed):
+                hashes, size = gram_hashes(listed[block])
+                held = np.column_stack([ids[block], parity_bits(hashes, size)])
+                key, owner = text_keys(hashes, size, often.value, plan, likeness)
+                many = tiles.value[slot_of(key, KEY_BITS)].astype(np.int64)
+                if (many > 1).any():  # a tile for each pair of the text's own part and another part of the key's texts
+                    n = np.repeat(many, many)
+                    at = np.arange(len(n)) - np.repeat(np.cumsum(many) - many, many)
+                    key, owner = np.repeat(key, many), np.repeat(owner, many)
+                    mine = (_mixed(key ^ held[owner, 0].view(np.uint64)) % n.astype(np.uint64)).astype(np.int64)
+                    tile = np.minimum(mine, at) * n + np.maximum(mine, at) + 1
+                    key = np.where(n > 1, _mixed(key + tile.astype(np.uint64)), key)
+                key = key & np.uint64(~LARGEST & (2**64 - 1)) | np.minimum(size, LARGEST).astype(np.uint64)[owner]
+                for begin in range(0, len(key), 200_000):
+                    part = slice(begin, begin + 200_000)
+                    columns = [key[part].view(np.int64), *np.ascontiguousarray(held[owner[part]].T)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
     return texts.mapInArrow(emit, ", ".join(f"{name} bigint" for name in names))
 
@@ -247,10 +332,21 @@ def _candidates(tables: DataFrame, likeness: float) -> DataFrame:
     return sorted_.mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
-def alike_texts(texts: DataFrame, likeness: float = LIKENESS, depth: int | None = None) -> DataFrame:
-    """(a, b): ids of the pairs of distinct texts (id bigint, text string) that are at least `likeness` alike."""
-    depth = default_depth(texts.count()) if depth is None else depth
-    pairs = _candidates(_tables(texts, depth, likeness), likeness)
+def alike_texts(texts: DataFrame, likeness: float = LIKENESS, plan: Plan | None = None, tile: int = TILE) -> DataFrame:
+    """(a, b): ids of the pairs of distinct texts (id bigint, text string) that are at least `likeness` alike. `tile`: rows of a tile's side."""
+    spark = texts.sparkSession
+    broadcast = spark.sparkContext.broadcast
+    path = scratch_path(spark, "texts")  # they are read several times
+    texts.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "id").write.parquet(path)
+    texts = spark.read.schema(texts.schema).parquet(path)
+    counted = gram_counts(texts)
+    plan = choose_plan(texts, counted, likeness) if plan is None else plan
+    often = broadcast(counted)
+    some = texts.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(COUNTED)) == 0)
+    rows = _summed(some, lambda hashes, size: slot_of(text_keys(hashes, size, often.value, plan, likeness)[0], KEY_BITS), KEY_BITS) * COUNTED
+    rows -= int(np.median(rows))  # what other keys of a slot have
+    tiles = broadcast(np.minimum(np.maximum(1, -(-rows // tile)), 2**15 - 1).astype(np.int16))
+    pairs = _candidates(_tables(texts, often, tiles, plan, likeness), likeness)
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
 
@@ -265,22 +361,38 @@ def alike_texts(texts: DataFrame, likeness: float = LIKENESS, depth: int | None
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInPandas(confirmed, "a bigint, b bigint")
 
 
+#: Low bits of a text's id by which texts of one hash are told apart.
+APART_BITS = 8
+
+
+def _hash(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
+def _texts(members: DataFrame) -> DataFrame:
+    """(id, text): the distinct texts, ids by hash; texts of one hash are numbered, so that no two have one id."""
+    hashed = members.select("text").distinct().withColumn("h", F.shiftright(_hash(F.col("text")), APART_BITS))
+    number = F.row_number().over(Window.partitionBy("h").orderBy("text")) - 1
+    safe = F.when(number < 1 << APART_BITS, number).otherwise(F.raise_error(F.lit("too many texts of one hash")).cast("int"))
+    return hashed.select((F.shiftleft("h", APART_BITS) + safe).alias("id"), "text")
+
+
 def _members(rows: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(row_id, id, text): the rows with an id and their normal texts; texts without a gram have no likeness and are left out."""
-    text = normal_text(F.col(text_column))
-    return rows.select(F.col(id_column).alias("row_id"), F.xxhash64(text).alias("id"), text.alias("text")).where((F.length("text") >= GRAM) & F.col("row_id").isNotNull())
+    """(row_id, text): the rows and their normal texts; texts without a gram have no likeness and are left out."""
+    return rows.select(F.col(id_column).alias("row_id"), normal_text(F.col(text_column)).alias("text")).where(F.length("text") >= GRAM)
 
 
 def near_duplicate_pairs(rows: DataFrame, id_column: str = "qa_id", text_column: str = "question", likeness: float = LIKENESS) -> DataFrame:
     """(<id>_a, <id>_b), smaller id first: all pairs of rows whose texts are at least `likeness` alike.
 
     Likeness is that of the sets of distinct 4-character substrings of the normal texts. Equal texts are compared once and
-    their rows paired at the end. Rows without an id are left out; NULL texts and texts of less than 4 characters are like none. Rows of equal id aren't
-    paired with each other. Empty input gives an empty result; other columns are ignored.
+    their rows paired at the end. A pair is named by two ids, so rows without an id are in none; NULL texts and texts of less than 4 characters are
+    like none. Rows of equal id aren't paired with each other. Empty input gives an empty result; other columns are ignored.
     """
-    members = _members(rows, id_column, text_column)
-    texts = members.select("id", "text").dropDuplicates(["id"])
+    named = _members(rows, id_column, text_column).where(F.col("row_id").isNotNull())
+    texts = _texts(named)
     found = alike_texts(texts, likeness)
+    members = named.join(texts, "text")
     a, b = (members.select(F.col("row_id").alias(f"row_{s}"), F.col("id").alias(s)) for s in "ab")
     copies = a.join(b, F.col("a") == F.col("b")).where(F.col("row_a") < F.col("row_b")).select("row_a", "row_b")
     others = found.join(a, "a").join(b, "b").where(F.col("row_a") != F.col("row_b")).select("row_a", "row_b")
@@ -292,19 +404,17 @@ def near_duplicate_pairs(rows: DataFrame, id_column: str = "qa_id", text_column:
 def near_duplicate_classes(rows: DataFrame, id_column: str = "qa_id", text_column: str = "question", likeness: float = LIKENESS) -> DataFrame:
     """(<id>, class_id, n_links): each row, the smallest id among its exact copies, and the number of other texts it is like.
 
-    The form for groups of any size: copies aren't expanded into pairs. Every row with an id comes out. Copies are rows of equal normal
-    texts, those of under 4 characters too, which are like no other text; a NULL text is a copy of none and its row is its own class.
+    The form for groups of any size: copies aren't expanded into pairs. Every row comes out. Copies are rows of equal normal texts, those of
+    under 4 characters too, which are like no other text; a NULL text is a copy of none and its row is its own class. Rows without an id
+    keep it so; their class is that of their copies with one, or NULL.
     """
-    members = _members(rows, id_column, text_column)
-    texts = members.groupBy("id").agg(F.first("text").alias("text"), F.min("row_id").alias("class_id"))
-    found = alike_texts(texts.select("id", "text"), likeness)
+    named = rows.select(F.col(id_column).alias("row_id"), normal_text(F.col(text_column)).alias("text"))
+    first = named.where(F.col("text").isNotNull()).groupBy("text").agg(F.min("row_id").alias("class_id"))
+    texts = _texts(first.where(F.length("text") >= GRAM))
+    found = alike_texts(texts, likeness)
     links = found.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
-    classes = texts.select("id", "class_id").join(links, "id", "left")
-    found_in = members.join(classes, "id").select(F.col("row_id").alias(id_column), "class_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
-    text = normal_text(F.col(text_column))
-    rest = rows.select(F.col(id_column).alias("row_id"), text.alias("text")).where(F.col("row_id").isNotNull() & (text.isNull() | (F.length(text) < GRAM)))
-    none = rest.where(F.col("text").isNull()).select(F.col("row_id").alias(id_column), F.col("row_id").alias("class_id"))
-    short = rest.where(F.col("text").isNotNull())
-    first = short.groupBy("text").agg(F.min("row_id").alias("class_id"))
-    short = short.join(first, "text").select(F.col("row_id").alias(id_column), "class_id")
-    return found_in.unionByName(short.unionByName(none).withColumn("n_links", F.lit(0).cast("long")))
+    classes = first.join(texts.join(links, "id").select("text", "n_links"), "text", "left")
+    n_links = F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")
+    known = named.join(classes, "text").select(F.col("row_id").alias(id_column), "class_id", n_links)
+    none = named.where(F.col("text").isNull()).select(F.col("row_id").alias(id_column), F.col("row_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return known.unionByName(none)

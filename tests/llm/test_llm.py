@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import itertools
+import math
 import random
 
 import numpy as np
@@ -93,55 +94,93 @@ def test_every_shared_span_has_a_shared_fingerprint():
 
 def edited(r, text):
     words = text.split()
-    for _ in range(r.randrange(4)):
+    for _ in range(r.randrange(4) if len(words) > 4 else 0):
         i = r.randrange(len(words))
         words[i : i + 1] = r.choice([[], [words[i], "extra"], [words[i][::-1]], [words[i], words[i]]])
     return " ".join(words) or "none"
 
 
-@pytest.mark.parametrize("depth", [1, 2, 3])
-def test_near_duplicates_miss_no_pair(spark, depth):
-    r = random.Random(depth)
-    base = ["Which river flows past the town of {} and {}?".format(*("".join(r.choices("abcdefgh", k=7)) for _ in range(2))) for _ in range(40)]
-    texts = base + [edited(r, r.choice(base)) for _ in range(120)] + ["", "ab", "abcd", "ABCD!", "x" * 5000, "x" * 5000 + "y"]
-    rows = [(i, t) for i, t in enumerate(texts)] + [(900, None), (None, texts[0])]
-    normal = {i: " ".join(__import__("re").findall(r"[^\W_]+", t.lower())) for i, t in rows if t and i is not None}
-    expected = set()
+def likeness_pairs(normal):
+    out = set()
     for (i, a), (j, b) in itertools.combinations(normal.items(), 2):
         x, y = near.grams(a), near.grams(b)
         if x and y and len(x & y) >= 0.65 * len(x | y):
-            expected.add((i, j))
+            out.add((i, j))
+    return out
+
+
+@pytest.mark.parametrize("plan", [*near.PLANS, near.Plan(0.5, 2)])
+def test_near_duplicates_miss_no_pair(spark, plan):
+    r = random.Random(plan.depth)
+    base = ["Which river flows past the town of {} and {}?".format(*("".join(r.choices("abcdefgh", k=7)) for _ in range(2))) for _ in range(40)]
+    base += ["".join(r.choices("abc", k=n)) for n in (4, 5, 6, 7, 8, 9, 12, 15, 20)] + [" ".join("".join(r.choices("abcdefghij", k=5)) for _ in range(n)) for n in (40, 200)]
+    texts = base + [edited(r, r.choice(base)) for _ in range(120)] + ["", "ab", "abcd", "ABCD!", "x" * 5000, "x" * 5000 + "y"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(900, None), (None, texts[0])]
+    expected = likeness_pairs({i: " ".join(__import__("re").findall(r"[^\W_]+", t.lower())) for i, t in rows if t and i is not None})
     df = spark.createDataFrame(rows, "qa_id bigint, question string")
-    members = near._members(df, "qa_id", "question")
-    ids = {r.id: [] for r in members.collect()}
-    for m in members.collect():
-        ids[m.id].append(m.row_id)
-    distinct = members.select("id", "text").dropDuplicates(["id"])
-    found = {tuple(sorted((i, j))) for r in near.alike_texts(distinct, depth=depth).collect() for i in ids[r.a] for j in ids[r.b]}
-    found |= {p for v in ids.values() for p in itertools.combinations(sorted(v), 2)}
-    assert found == expected
-    if depth == 2:
+    members = near._members(df, "qa_id", "question").where("row_id is not null")
+    distinct = near._texts(members)
+    ids = {}
+    for m in members.join(distinct, "text").collect():
+        ids.setdefault(m.id, []).append(m.row_id)
+    for tile in (near.TILE, 2):  # whole buckets, and all of them cut into tiles
+        found = {tuple(sorted((i, j))) for r in near.alike_texts(distinct, plan=plan, tile=tile).collect() for i in ids[r.a] for j in ids[r.b]}
+        found |= {p for v in ids.values() for p in itertools.combinations(sorted(v), 2)}
+        assert found == expected
+    if plan == near.PLANS[0]:
         assert {tuple(r) for r in near.near_duplicate_pairs(df).collect()} == expected
         classes = {r.qa_id: r for r in near.near_duplicate_classes(df).collect()}
         assert all(classes[i].class_id == min(v) for v in ids.values() for i in v)
-        assert near.near_duplicate_pairs(df.limit(0)).count() == 0
+        assert near.near_duplicate_pairs(df.limit(0)).count() == near.near_duplicate_classes(df.limit(0)).count() == 0
+
+
+def test_texts_of_one_hash_stay_apart(spark, monkeypatch):
+    monkeypatch.setattr(near, "_hash", lambda text: F.pmod(F.xxhash64(text), F.lit(3)) * 1024)
+    texts = {i: f"which river flows past the town of {'abcdefghijkl'[i // 2] * 9}{i % 2}" for i in range(24)} | {50: "something else altogether"}
+    df = spark.createDataFrame(list(texts.items()), "qa_id bigint, question string")
+    assert {tuple(r) for r in near.near_duplicate_pairs(df).collect()} == likeness_pairs(texts)
+
 
+def test_hashes_of_grams_are_those_of_each_text_alone():
+    texts = ["abcd", "", "abc", "abcdabcdabcd", "🙂é的xyz", "x" * 900]
+    flat, size = near.gram_hashes(texts)
+    assert size.tolist() == [len(near.grams(t)) for t in texts]
+    for text, part in zip(texts, np.split(flat, np.cumsum(size)[:-1])):
+        assert (part == near.gram_hashes([text])[0]).all()
 
-def test_classes_have_every_row_with_an_id(spark):
-    rows = [(5, "Who"), (3, "who?"), (9, "Qué"), (7, None), (8, None), (4, "?"), (2, " "), (None, "Who"), (11, "Which river?"), (10, "which river"), (12, "Which river")]
+
+def test_comparisons_are_few(spark):
+    """Over the questions of sf0.01: rows per text, and comparisons as a share of all pairs."""
+    df = spark.read.parquet("/root/testdata/sf0.01/demo.parquet")
+    texts = near._texts(near._members(df, "qa_id", "question"))
+    often, (hashes, size) = near.gram_counts(texts), near.gram_hashes([r.text for r in texts.collect()])
+    keys, _ = near.text_keys(hashes, size, often, near.PLANS[0], near.LIKENESS)
+    _, n = np.unique(keys, return_counts=True)
+    all_pairs = len(size) * (len(size) - 1) / 2
+    print(f"{len(keys) / len(size):.0f} rows a text, {(n * (n - 1) / 2).sum() / all_pairs:.4f} comparisons a pair of texts")
+    assert (n * (n - 1) / 2).sum() < 0.1 * all_pairs
+
+
+def test_classes_have_every_row(spark):
+    rows = [(5, "Who"), (3, "who?"), (9, "Qué"), (7, None), (8, None), (4, "?"), (2, " "), (None, "Who"), (None, "Wer"), (11, "Which river?"), (10, "which river"), (12, "Which river")]
     found = near.near_duplicate_classes(spark.createDataFrame(rows, "qa_id bigint, question string")).collect()
-    assert sorted(map(tuple, found)) == [(2, 2, 0), (3, 3, 0), (4, 2, 0), (5, 3, 0), (7, 7, 0), (8, 8, 0), (9, 9, 0), (10, 10, 0), (11, 10, 0), (12, 10, 0)]
+    assert {tuple(r) for r in found if r.qa_id is None} == {(None, 3, 0), (None, None, 0)}
+    assert sorted(tuple(r) for r in found if r.qa_id is not None) == [(2, 2, 0), (3, 3, 0), (4, 2, 0), (5, 3, 0), (7, 7, 0), (8, 8, 0), (9, 9, 0), (10, 10, 0), (11, 10, 0), (12, 10, 0)]
 
 
-def test_covering_masks_cover_every_few_grams():
+@pytest.mark.parametrize("plan", near.PLANS)
+def test_covering_masks_cover_every_pair_within_the_radius(plan):
     r = np.random.default_rng(2)
-    for _ in range(100):
-        grams = np.unique(r.integers(0, 2**63, 60).astype(np.uint64) * np.uint64(2) + np.uint64(1))
-        band = near.band_of(60)
-        most = near.radius(len(grams) * 2, near.LIKENESS)
-        swap = r.integers(0, most // 2 + 1)
-        other = np.unique(np.concatenate([grams[swap:], r.integers(0, 2**63, swap).astype(np.uint64) * np.uint64(2)]))
-        assert (near.table_keys(grams, band, 2, near.LIKENESS) == near.table_keys(other, band, 2, near.LIKENESS)).any()
+    often = r.integers(0, 50, 1 << near.SLOT_BITS).astype(np.int32)
+    for _ in range(300):
+        a = int(r.integers(1, 150))
+        x = np.unique(r.integers(0, 2**63, a).astype(np.uint64))
+        # as many shared grams as just suffice, by dropping and adding
+        drop = int(r.integers(0, math.floor(0.35 * len(x)) + 1))
+        more = max(0, math.floor((len(x) - drop) / 0.65 - len(x) + 1e-9))
+        y = np.unique(np.concatenate([x[r.permutation(len(x))[drop:]], r.integers(2**63, 2**64 - 1, int(r.integers(0, more + 1)), dtype=np.uint64)]))
+        if len(np.intersect1d(x, y)) >= 0.65 * len(np.union1d(x, y)):
+            assert np.intersect1d(*(near.text_keys(h, np.array([len(h)]), often, plan, near.LIKENESS)[0] for h in (x, y))).size
 
 
 HELD_OUT = {
