@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Instants come out in this spelling.
-ISO_UTC = "yyyy-MM-dd'T'HH:mm:ss'Z'"
-
-
 def instant_micros(text: Column) -> Column:
     """Microseconds since the epoch of an ISO-8601 instant in any common spelling; NULL if it can't be read.
 
@@ -20,11 +16,17 @@ def instant_micros(text: Column) -> Column:
     spread = F.regexp_replace(F.regexp_replace(spread, r":(?=$|[Z+\-.])", ":00"), r"([+\-]\d{2})(\d{2})?$", "$1:$2")
     spread = F.regexp_replace(spread, r"([+\-]\d{2}):$", "$1:00")
     spread = F.regexp_replace(spread, r"^(.{10}[T ]\d{2}:\d{2})(?=$|[Z+\-])", "$1:00")
-    return F.coalesce(
-        F.unix_micros(plain.try_cast("timestamp")), F.unix_micros(spread.try_cast("timestamp"))
-    )
+    return F.coalesce(F.unix_micros(_in_utc(plain).try_cast("timestamp")), F.unix_micros(_in_utc(spread).try_cast("timestamp")))
+
+
+def _in_utc(text: Column) -> Column:
+    """The text with `Z` where it has no zone, so that the session's zone plays no part."""
+    timed = F.regexp_replace(text, r"^(\d{4}-\d{2}-\d{2})$", "$1T00:00:00")
+    return F.regexp_replace(timed, r"([T ]\d{1,2}:\d{1,2}(?::\d{1,2}(?:\.\d*)?)?)$", "$1Z")
 
 
 def iso_text(micros: Column) -> Column:
-    """Microseconds since the epoch as `2025-01-31T12:00:00Z` (UTC, the session's zone set to UTC)."""
-    return F.date_format(F.timestamp_micros(micros), ISO_UTC)
+    """Microseconds since the epoch as `2025-01-31T12:00:00Z`, whatever the session's zone."""
+    second = F.floor(micros / F.lit(1_000_000))
+    at = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=second.cast("decimal(18,6)"))
+    return F.concat(F.translate(F.substring(at.cast("string"), 1, 19), " ", "T"), F.lit("Z"))

@@ -3,19 +3,19 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from strandline.functions.instants import instant_micros
+from strandline.session import scratch_path
 
 #: In-band marks of the feed that stand for no value.
 SENTINELS = ("NEW_CREATED", "NO_VALUE", "SOME_VALUE")
 
-#: A key with more rows than this is cut into pieces, if it is among the MAX_HEAVY largest.
+#: A key with more rows than this is cut into pieces.
 HEAVY_ROWS = 50_000
-MAX_HEAVY = 1024
 PIECES = 128
 
 
@@ -42,17 +42,21 @@ def is_value(value: Column) -> Column:
 
 @dataclass(frozen=True)
 class HeavyKeys:
-    """Cut points of the heavy keys: at most MAX_HEAVY rows of PIECES numbers, so broadcast and driver hold 2 MB at most."""
+    """Cut points of the heavy keys, in a table in the shared folder: Spark broadcasts it if its size allows, and joins by a shuffle if not."""
 
-    table: DataFrame
+    table: DataFrame | None
     keys: tuple[str, ...]
     count: int
 
+    def _join(self, df: DataFrame, table: DataFrame, how: str) -> DataFrame:
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in self.keys])  # NULL keys are keys
+        return df.join(table.withColumnsRenamed({k: f"_{k}" for k in self.keys}), same, how)
+
     def cut(self, df: DataFrame, order: str) -> DataFrame:
         """df with `piece`: 0, or for a heavy key the number of its cut points up to `order`; and `heavy`."""
         if not self.count:
             return df.withColumns({"piece": F.lit(0), "heavy": F.lit(False)})
-        marked = df.join(F.broadcast(self.table), list(self.keys), "left")
+        marked = self._join(df, self.table, "left").drop(*[f"_{k}" for k in self.keys])
         below = F.size(F.filter("cuts", lambda c: c <= F.col(order)))
         return marked.withColumns(
             {"piece": F.when(F.col("cuts").isNull(), F.lit(0)).otherwise(below), "heavy": F.col("cuts").isNotNull()}
@@ -60,31 +64,24 @@ class HeavyKeys:
 
     def only(self, df: DataFrame) -> DataFrame:
         """The rows of the heavy keys."""
-        return df.join(F.broadcast(self.table.select(*self.keys)), list(self.keys), "left_semi")
+        return self._join(df, self.table.select(*self.keys), "left_semi")
 
 
-def heavy_keys(
-    df: DataFrame, keys: tuple[str, ...], order: str, heavy_rows: int = HEAVY_ROWS, max_heavy: int = MAX_HEAVY, pieces: int = PIECES
-) -> HeavyKeys:
-    """Keys with more than heavy_rows rows, at most the max_heavy largest, and points that cut each into pieces along `order`.
+def heavy_keys(df: DataFrame, keys: tuple[str, ...], order: str, heavy_rows: int = HEAVY_ROWS, pieces: int = PIECES) -> HeavyKeys:
+    """All keys with more than heavy_rows rows, and points that cut each into pieces along `order`.
 
-    A key that isn't among them holds heavy_rows rows or less than the max_heavy-th part of all rows; such a key is small
-    enough for one task. All rows are counted (combined before the shuffle); only the cut points come to the driver.
+    All rows are counted (combined before the shuffle); nothing but the number of heavy keys comes to the driver.
     """
     spark = df.sparkSession
-    top = (
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > heavy_rows)
-        .orderBy(F.col("n").desc(), *keys).limit(max_heavy).drop("n").collect()
-    )
-    top = [row for row in top if None not in row]
-    schema = df.select(*keys).schema
-    if not top:
-        return HeavyKeys(spark.createDataFrame([], schema), keys, 0)
-    named = spark.createDataFrame(top, schema)
+    none = HeavyKeys(None, keys, 0)
+    many = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > heavy_rows)
+    path = scratch_path(spark, "heavy")
+    many.drop("n").write.parquet(f"{path}/keys")
+    named = spark.read.schema(df.select(*keys).schema).parquet(f"{path}/keys")
+    if not named.head(1):
+        return none
     shares = F.array(*[F.lit(i / pieces) for i in range(1, pieces)])
-    rows = (
-        df.join(F.broadcast(named), list(keys), "left_semi").groupBy(*keys)
-        .agg(F.array_distinct(F.percentile_approx(order, shares, F.lit(10_000))).alias("cuts")).collect()
-    )
-    found = spark.createDataFrame(rows, T.StructType([*schema, T.StructField("cuts", T.ArrayType(T.LongType()))]))
-    return HeavyKeys(found, keys, len(rows))
+    rows = HeavyKeys(named, keys, 1).only(df).groupBy(*keys).agg(F.array_distinct(F.percentile_approx(order, shares, F.lit(10_000))).alias("cuts"))
+    rows.write.parquet(f"{path}/cuts")
+    cuts = spark.read.schema(rows.schema).parquet(f"{path}/cuts")
+    return HeavyKeys(cuts, keys, cuts.count())

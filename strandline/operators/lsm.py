@@ -1,117 +1,168 @@
-"""Current state of a table from a change feed, by a log-structured merge tree on bucketed tables.
+"""Current state of a table from a change feed, by a log-structured merge tree on bucketed, sorted runs.
 
-A run holds the newest version of each of its keys, deletions as tombstones, bucketed and sorted by key (once per key).
-Runs are only ever appended. All runs of a table share their buckets, so a reader merges the k runs bucket by bucket
-without a shuffle; the merge is an aggregation by key, not a walk over the k sorted runs side by side. When a level holds
-`fanout` runs, they are merged into one run of the next level.
+A run holds the newest version of each of its keys, deletions as tombstones, in one sorted file per bucket. Runs are only ever
+added. All runs of a tree share their buckets, so k runs are merged on read by merge joins that neither shuffle nor sort: of each run
+those keys that no earlier run has, beside their versions in the later ones. When a level holds `fanout` runs, they are merged
+into one run of the next level.
+
+What runs there are stands in a manifest beside them, written anew with every change; a tree is opened again by its path.
 """
 
 from __future__ import annotations
 
-import uuid
+import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.operators.feed import normal_changes
-from strandline.session import scratch_path
+from strandline.session import files, scratch_path
 
 KEY = ("entity_id", "property_id")
 #: Before every instant: the place of changes whose instant can't be read.
 NEVER = -(1 << 62)
+#: A version, in the order that decides which is newest.
+VERSION = "struct<at: bigint, revid: bigint, undelivered: bigint, value: string, tombstone: boolean>"
+RUN = f"entity_id string, property_id string, newest {VERSION}"
+
+
+def _stored(key: str) -> Column:
+    """A key that is never NULL, as merge joins need it."""
+    return F.coalesce(F.concat(F.lit("="), F.col(key)), F.lit(""))
 
 
-def _newest() -> Column:
-    return F.max_by(F.struct("at", "revid", "undelivered", "value", "tombstone"), F.struct("at", "revid", "undelivered"))
+def _given(key: str) -> Column:
+    return F.when(F.col(key) != "", F.substr(F.col(key), F.lit(2)))
 
 
 class MergeTree:
-    """A merge tree below `path`: a table of the session's catalog, partitioned by run, all runs in the same buckets.
+    """A merge tree below `path`, made there if there is none.
 
-    One writer at a time; readers see whole runs only, since a run is committed as one job. A run that a lost executor
-    leaves half written is written again by Spark's task retries. `buckets` should be spark.sql.shuffle.partitions, so
-    that each bucket of a run is one file. (A union of one bucketed table per run isn't used, as Spark 4.1 then takes
-    the union for co-located without lining the buckets up.)
+    One writer at a time; readers see whole runs only, since a run counts once the manifest names it. A run that a lost
+    executor leaves half written is written again by Spark's task retries. `buckets` and `fanout` are those of the manifest
+    if there is one.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int, fanout: int = 8) -> None:
-        self.spark, self.path, self.buckets, self.fanout = spark, path, buckets, fanout
-        self.name = f"merge_tree_{uuid.uuid4().hex}"
-        self.levels: dict[int, list[int]] = {}
-        self.made = 0
-
-    def _write(self, merged: DataFrame) -> int:
-        """Writes a run. The shuffle of the aggregation lays out the buckets, the write sorts them."""
-        run, self.made = self.made, self.made + 1
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None, fanout: int = 4) -> None:
+        # One sorted file per bucket is read as sorted.
+        spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+        self.spark, self.path, self.files = spark, path, files(spark)
+        self.buckets, self.fanout = buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), fanout
+        self.levels: dict[int, list[str]] = {}
+        self.made, self.batch, self.saved = 0, -1, 0
+        manifests = sorted(int(n.rpartition("-")[2]) for n in self.files.names(path) if n.startswith("manifest-"))
+        if manifests:
+            kept = json.loads(self.files.text(f"{path}/manifest-{manifests[-1]:09d}"))
+            self.buckets, self.fanout, self.made, self.batch, self.saved = (kept[k] for k in ("buckets", "fanout", "made", "batch", "saved"))
+            self.levels = {int(level): runs for level, runs in kept["levels"].items()}
+
+    def _save(self) -> None:
+        self.saved += 1
+        kept = {"buckets": self.buckets, "fanout": self.fanout, "made": self.made, "batch": self.batch, "saved": self.saved, "levels": self.levels}
+        self.files.write(f"{self.path}/manifest-{self.saved:09d}", json.dumps(kept))
+        self.files.delete(f"{self.path}/manifest-{self.saved - 2:09d}")
+
+    def _table(self, run: str) -> DataFrame:
+        """A run, known to the session's catalog by its place and buckets."""
+        name = f"run_{abs(hash((self.path, run))):x}"
+        clustered = f"CLUSTERED BY ({', '.join(KEY)}) SORTED BY ({', '.join(KEY)}) INTO {self.buckets} BUCKETS"
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({RUN}) USING parquet {clustered} LOCATION '{self.path}/{run}'")
+        return self.spark.table(name)
+
+    def _write(self, versions: DataFrame, stretches: int) -> list[str]:
+        """Writes versions (stretch, *KEY, newest) as runs, one per stretch, in one job; one file per bucket, sorted by the write."""
+        batch, self.made = f"runs-{self.made:06d}", self.made + 1
+        name = f"new_{abs(hash((self.path, batch))):x}"
         (
-            merged.select(*KEY, "newest.*", F.lit(run).alias("run"))
-            .write.partitionBy("run").bucketBy(self.buckets, *KEY).sortBy(*KEY)
-            .option("path", f"{self.path}/{self.name}").format("parquet").mode("append").saveAsTable(self.name)
+            versions.write.partitionBy("stretch").bucketBy(self.buckets, *KEY).sortBy(*KEY)
+            .option("path", f"{self.path}/{batch}").format("parquet").mode("overwrite").saveAsTable(name)
         )
-        return run
-
-    def append(self, changes: DataFrame) -> None:
-        """Adds changes (as normal_changes gives them) as a run; compacts the levels that are full."""
-        rows = changes.select(
-            *KEY,
-            F.coalesce("at", F.lit(NEVER)).alias("at"),
-            "revid",
-            (-F.col("feed_pos")).alias("undelivered"),
-            F.col("new_value").alias("value"),
-            (F.col("kind") == "deleted").alias("tombstone"),
-        )
-        self.levels.setdefault(0, []).append(self._write(rows.groupBy(*KEY).agg(_newest().alias("newest"))))
+        self.spark.sql(f"DROP TABLE {name}")  # of the catalog; the files stay
+        there = set(self.files.names(f"{self.path}/{batch}"))
+        return [f"{batch}/stretch={i}" for i in range(stretches) if f"stretch={i}" in there]
+
+    def append(self, changes: DataFrame, stretch: Column | None = None, stretches: int = 1, batch: int | None = None) -> None:
+        """Adds changes (as normal_changes gives them) as a run, or as one per stretch (0 to stretches - 1); then merges the levels that are full.
+
+        `batch`: a number of a stream's; a batch that is not after the last one is there already.
+        """
+        if batch is not None and batch <= self.batch:
+            return
+        version = F.struct(
+            F.coalesce("at", F.lit(NEVER)).alias("at"), "revid", (-F.col("feed_pos")).alias("undelivered"), F.col("new_value").alias("value"), (F.col("kind") == "deleted").alias("tombstone")
+        ).cast(VERSION)
+        rows = changes.select((F.lit(0) if stretch is None else stretch).cast("int").alias("stretch"), *[_stored(k).alias(k) for k in KEY], version.alias("v"))
+        newest = rows.repartition(self.buckets, *KEY).groupBy("stretch", *KEY).agg(F.max("v").alias("newest"))
+        runs = self._write(newest, stretches)
+        self.batch = self.batch if batch is None else batch
+        self.levels.setdefault(0, []).extend(runs)
+        self._save()
         level = 0
-        while len(self.levels.get(level, [])) >= self.fanout:
-            self.compact(level)
+        while level <= max(self.levels):
+            while len(self.levels.get(level, [])) >= self.fanout:
+                self.compact(level)
             level += 1
 
     def compact(self, level: int) -> None:
-        """Merges the runs of a level into a run of the next one and drops them. Tombstones stay: older runs may lie deeper."""
-        runs = self.levels.get(level, [])
-        if len(runs) > 1:
-            self.levels.setdefault(level + 1, []).append(self._write(self._merge(runs)))
-            self.levels[level] = []
-            jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-            for run in runs:
-                self.spark.sql(f"ALTER TABLE {self.name} DROP IF EXISTS PARTITION (run = {run})")
-                gone = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{self.name}/run={run}")
-                gone.getFileSystem(conf).delete(gone, True)
-
-    def _merge(self, runs: list[int]) -> DataFrame:
-        """The newest version per key: the scan puts a bucket's files of all runs into one task, so nothing is shuffled."""
-        return self.spark.table(self.name).where(F.col("run").isin(runs)).groupBy(*KEY).agg(_newest().alias("newest"))
+        """Merges the first `fanout` runs of a level into a run of the next one. Tombstones stay: older runs may lie deeper."""
+        runs = self.levels.get(level, [])[: self.fanout]
+        if len(runs) < 2:
+            return
+        merged = self._merged(runs).repartition(self.buckets, *KEY).select(F.lit(0).alias("stretch"), *KEY, "newest")
+        new = self._write(merged, 1)
+        self.levels[level] = self.levels[level][len(runs) :]
+        self.levels.setdefault(level + 1, []).extend(new)
+        self._save()
+        for run in runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS run_{abs(hash((self.path, run))):x}")
+            self.files.delete(f"{self.path}/{run}")
+
+    def _merged(self, runs: list[str]) -> DataFrame:
+        """(*KEY, newest): the newest version per key of sorted runs, by merge joins bucket by bucket."""
+        parts = []
+        for i, run in enumerate(runs):
+            part, versions = self._table(run), ["newest"]
+            for j, other in enumerate(runs):
+                if j < i:
+                    part = part.join(self._table(other).select(*KEY).hint("merge"), list(KEY), "left_anti")
+                elif j > i:
+                    part = part.join(self._table(other).withColumnRenamed("newest", f"newest_{j}").hint("merge"), list(KEY), "left")
+                    versions.append(f"newest_{j}")
+            parts.append(part.select(*KEY, (F.greatest(*versions) if len(versions) > 1 else F.col("newest")).alias("newest")))
+        together = parts[0]
+        for part in parts[1:]:
+            together = together.unionAll(part)
+        return together
 
     def read(self) -> DataFrame:
         """(entity_id, property_id, current_value) of the keys whose newest change is not a deletion."""
-        runs = [run for level in sorted(self.levels) for run in self.levels[level]]
+        runs = [run for level in sorted(self.levels, reverse=True) for run in self.levels[level]]
         if not runs:
             return self.spark.createDataFrame([], "entity_id string, property_id string, current_value string")
-        return (
-            self._merge(runs)
-            .where(~F.coalesce("newest.tombstone", F.lit(False)))
-            .select(*KEY, F.col("newest.value").alias("current_value"))
-        )
+        there = self._merged(runs).where(~F.coalesce("newest.tombstone", F.lit(False)))
+        return there.select(*[_given(k).alias(k) for k in KEY], F.col("newest.value").alias("current_value"))
+
+    def drop(self) -> None:
+        """Deletes the tree."""
+        for run in (run for runs in self.levels.values() for run in runs):
+            self.spark.sql(f"DROP TABLE IF EXISTS run_{abs(hash((self.path, run))):x}")
+        self.levels = {}
+        self.files.delete(self.path)
 
 
 def current_state(changes: DataFrame, runs: int = 10, buckets: int | None = None) -> DataFrame:
     """(entity_id, property_id, current_value): the newest value of each key that its newest change doesn't delete.
 
-    The feed is appended in `runs` stretches of arrival (feed_pos), as it would come over time, more than the tree's fanout, so
-    that the first ones are compacted, and read through the merge of the runs. Newest is by instant, then revid; of copies of a change the first delivered counts. A change whose
-    instant can't be read is older than all others; a NULL revid is older than others of its instant; a NULL change type
-    is no deletion. NULL keys are keys. Empty input gives an empty result; further columns are ignored.
+    The feed is taken in `runs` stretches of arrival (feed_pos), as it would come over time, more than the tree's fanout, so
+    that runs are merged into deeper ones, and read through the merge of what runs there are then. Newest is by instant, then revid; of
+    copies of a change the first delivered counts. A change whose instant can't be read is older than all others; a NULL revid is older
+    than others of its instant; a NULL change type is no deletion. NULL keys are keys. Empty input gives an empty result; further
+    columns are ignored. The tree lies in the shared folder until that is cleared, as the result is read from it.
     """
     spark = changes.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     tree = MergeTree(spark, scratch_path(spark, "lsm"), buckets)
     feed = normal_changes(changes)
-    ends = feed.agg(F.min("feed_pos"), F.max("feed_pos")).first()
-    if ends[0] is None:
-        tree.append(feed)
-        return tree.read()
-    width = (ends[1] - ends[0]) // runs + 1
-    for i in range(runs):
-        low = ends[0] + i * width
-        tree.append(feed.where((F.col("feed_pos") >= low) & (F.col("feed_pos") < low + width)) if i else feed.where((F.col("feed_pos") < low + width) | F.col("feed_pos").isNull()))
+    first, last = feed.agg(F.min("feed_pos"), F.max("feed_pos")).first()
+    width = ((last or 0) - (first or 0)) // runs + 1
+    tree.append(feed, F.coalesce(F.floor((F.col("feed_pos") - F.lit(first or 0)) / F.lit(width)), F.lit(0)), runs)
     return tree.read()

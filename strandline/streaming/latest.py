@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandline.functions.instants import instant_micros
 from strandline.operators.feed import normal_changes
 from strandline.operators.lsm import MergeTree
-from strandline.session import scratch_path
+from strandline.session import files, scratch_path
 
 
 def latest_state(changes: DataFrame) -> DataFrame:
@@ -23,35 +23,38 @@ def latest_state(changes: DataFrame) -> DataFrame:
 def stream_latest(spark: SparkSession, folder: str, schema, files_per_batch: int = 4) -> DataFrame:
     """Runs latest_state over all files of a folder that are there now, in micro-batches, and gives the last state as a table.
 
-    The state is written once per batch that changes it, below the shared folder, so a lost executor costs one batch.
+    A batch writes the entities that it changed and no others, below the shared folder; the table is the last row written of each.
     """
     out, marks = scratch_path(spark, "latest"), scratch_path(spark, "marks")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
-    last: list[str] = []
+    state = latest_state(stream)
 
-    def keep(state: DataFrame, batch: int) -> None:
-        path = f"{out}/{batch}"
-        state.write.mode("overwrite").parquet(path)
-        last.append(path)
+    def keep(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{out}/batch={batch}")
 
-    query = latest_state(stream).writeStream.outputMode("complete").trigger(availableNow=True).option("checkpointLocation", marks).foreachBatch(keep).start()
+    query = state.writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", marks).foreachBatch(keep).start()
     query.awaitTermination()
-    return spark.read.parquet(last[-1]) if last else latest_state(spark.createDataFrame([], schema))
+    if not files(spark).names(out):
+        return latest_state(spark.createDataFrame([], schema))
+    written = spark.read.option("basePath", out).parquet(f"{out}/batch=*")
+    kept = [c for c in state.columns if c != "entity_id"]
+    return written.groupBy("entity_id").agg(F.max_by(F.struct(*kept), "batch").alias("row")).select("entity_id", "row.*")
 
 
-def stream_state(spark: SparkSession, folder: str, schema, buckets: int = 8, files_per_batch: int = 4) -> MergeTree:
-    """Appends every micro-batch of a stream of changes to a merge tree as a run; read() gives the state after the last one."""
-    tree = MergeTree(spark, scratch_path(spark, "stream-lsm"), buckets)
-    done: set[int] = set()
+def stream_state(spark: SparkSession, folder: str, schema, files_per_batch: int = 4, path: str | None = None, fanout: int = 4) -> MergeTree:
+    """Appends every micro-batch of a stream of changes to a merge tree as a run; read() gives the state after the last one.
+
+    With `path` the tree and the marks of the stream stay there, and a later call goes on where an earlier one ended or broke off: the
+    tree's manifest knows the last batch that it has, so a batch played again after a failure adds nothing.
+    """
+    path = path or scratch_path(spark, "stream-lsm")
+    tree = MergeTree(spark, f"{path}/tree", fanout=fanout)
 
     def append(batch: DataFrame, number: int) -> None:
-        if number not in done:  # a batch that is played again after a failure is already there
-            tree.append(normal_changes(batch))
-            done.add(number)
+        tree.append(normal_changes(batch), batch=number)
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
-    name = f"state_{uuid.uuid4().hex}"
-    query = stream.writeStream.queryName(name).trigger(availableNow=True).option("checkpointLocation", scratch_path(spark, "marks")).foreachBatch(append).start()
+    query = stream.writeStream.queryName(f"state_{uuid.uuid4().hex}").trigger(availableNow=True).option("checkpointLocation", f"{path}/marks").foreachBatch(append).start()
     query.awaitTermination()
     return tree
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import random
 from collections import Counter
 
@@ -15,6 +16,7 @@ from strandline.operators.history import attribute_history
 from strandline.operators.lsm import MergeTree, current_state
 from strandline.operators.skew import key_medians, key_modes
 from strandline.session import scratch_path
+from strandline.streaming.latest import stream_latest, stream_state
 
 SCHEMA = "feed_pos bigint, revid bigint, entity_id string, property_id string, old_value string, new_value string, change_type string, change_timestamp string, value string, piece string"
 
@@ -115,25 +117,73 @@ def test_current_state(spark, seed):
 
 def test_current_state_compacts(spark, monkeypatch):
     compacted, compact = [], MergeTree.compact
-    monkeypatch.setattr(MergeTree, "compact", lambda tree, level: (compacted.append(len(tree.levels[level])), compact(tree, level)))
+    monkeypatch.setattr(MergeTree, "compact", lambda tree, level: (compacted.append((level, len(tree.levels[level]))), compact(tree, level)))
     rows = feed(10)
     expected = {(*key, c[-1][3]) for key, c in ordered(rows).items() if c[-1][4] != "deleted"}
     assert {tuple(r) for r in current_state(spark.createDataFrame(rows, SCHEMA), buckets=4).collect()} == expected
-    assert compacted == [8]
+    assert compacted == [(0, 10), (0, 6)]
 
 
-def test_merge_tree_compacts_and_keeps_tombstones(spark):
+def final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_merge_tree_compacts_keeps_tombstones_and_reopens(spark):
     rows = feed(10)
     expected = {(*key, c[-1][3]) for key, c in ordered(rows).items() if c[-1][4] != "deleted"}
-    tree = MergeTree(spark, scratch_path(spark, "test"), buckets=3, fanout=2)
+    path = scratch_path(spark, "test")
+    tree = MergeTree(spark, path, buckets=3, fanout=2)
     changes = normal_changes(spark.createDataFrame(rows, SCHEMA))
     for i in range(5):
-        tree.append(changes.where(F.col("feed_pos") % 5 == i))
-    assert sum(map(len, tree.levels.values())) < 5
-    assert "Exchange" not in tree.read()._jdf.queryExecution().executedPlan().toString()
+        tree.append(changes.where(F.col("feed_pos") % 5 == i), batch=i)
+        tree.append(changes, batch=i)  # played again: it is there already
+        tree = MergeTree(spark, path)  # opened anew
+    assert (tree.buckets, tree.fanout, tree.batch) == (3, 2, 4) and 1 < sum(map(len, tree.levels.values())) < 5
+    assert {tuple(r) for r in tree.read().collect()} == expected
+    plan = final_plan(tree.read())
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+    folder = path.removeprefix("file://")
+    assert len([n for n in os.listdir(folder) if n.startswith("manifest")]) <= 2
+    tree.drop()
+    assert not os.path.exists(folder)
+
+
+def test_a_stream_goes_on_where_it_broke_off(spark, tmp_path, monkeypatch):
+    rows = feed(12)
+    pages = tmp_path / "pages"
+    for i in range(6):
+        spark.createDataFrame([r for r in rows if r[0] % 6 == i], SCHEMA).coalesce(1).write.mode("append").parquet(str(pages))
+    expected = {(*key, c[-1][3]) for key, c in ordered(rows).items() if c[-1][4] != "deleted"}
+    schema, save, calls = spark.read.parquet(str(pages)).schema, MergeTree._save, []
+
+    def fail_after_third(tree):
+        calls.append(1)
+        save(tree)
+        if len(calls) == 3:
+            raise RuntimeError("executor lost")
+
+    monkeypatch.setattr(MergeTree, "_save", fail_after_third)
+    with pytest.raises(Exception, match="executor lost"):
+        stream_state(spark, str(pages), schema, 1, f"file://{tmp_path}/state", fanout=3)
+    monkeypatch.setattr(MergeTree, "_save", save)
+    tree = stream_state(spark, str(pages), schema, 1, f"file://{tmp_path}/state")
+    assert tree.fanout == 3 and tree.batch == 5
     assert {tuple(r) for r in tree.read().collect()} == expected
 
 
+def test_newest_change_over_a_stream_of_several_batches(spark, tmp_path):
+    rows = feed(13)
+    for i in range(4):
+        spark.createDataFrame([r for r in rows if r[0] % 4 == i], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path))
+    found = stream_latest(spark, str(tmp_path), spark.read.parquet(str(tmp_path)).schema, 1).collect()
+    best = {}
+    for row in rows:
+        (key, c), = ordered([row]).items()
+        best[key[0]] = max(best.get(key[0], (0,)), (c[0][0], c[0][1], key[1], -row[0], c[0][3]))
+    assert {r.entity_id: r.new_value for r in found} == {k: v[-1] for k, v in best.items()}
+
+
 ODD = [
     (1, 1, None, "P1", None, "A", "updated", "2025-01-01T00:00:00Z", "", ""),
     (2, None, "Q1", None, "A", None, None, "2025-01-01T00:00:01Z", "", ""),
@@ -168,6 +218,29 @@ def test_spellings_of_an_instant(spark, text):
     assert spark.createDataFrame([(text,)], "t string").select(iso_text(instant_micros(F.col("t")))).first()[0] == "2025-01-31T12:00:00Z"
 
 
+def test_instants_do_not_depend_on_the_zone_of_the_session(spark):
+    texts = ["2025-03-30T02:30:00", "2025-03-30 02:30:00.5", "2025-03-30", "2025-03-09T02:30Z", "20250309T023000", "2025-11-02T01:30:00+00:00"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(iso_text(instant_micros(F.col("t"))).alias("at"))
+    expected = ["2025-03-30T02:30:00Z", "2025-03-30T02:30:00Z", "2025-03-30T00:00:00Z", "2025-03-09T02:30:00Z", "2025-03-09T02:30:00Z", "2025-11-02T01:30:00Z"]
+    rows = feed(14)
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for other in ("America/New_York", "Europe/Berlin", "UTC"):
+            spark.conf.set("spark.sql.session.timeZone", other)
+            assert [r.at for r in df.collect()] == expected
+            assert {tuple(r) for r in attribute_history(spark.createDataFrame(rows, SCHEMA)).collect()} == versions(rows)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_heavy_keys_without_a_key_are_cut_too(spark):
+    rows = [(p, r, None if e == "Q0" else e, *rest) for p, r, e, *rest in feed(15)]
+    expected = {tuple(r) for r in attribute_history(spark.createDataFrame(rows, SCHEMA)).collect()}
+    cut = heavy_keys(normal_changes(spark.createDataFrame(rows, SCHEMA)), ("entity_id", "property_id"), "at", heavy_rows=30, pieces=8)
+    assert cut.table.where("entity_id is null").count()
+    assert {tuple(r) for r in attribute_history(spark.createDataFrame(rows, SCHEMA), 30).collect()} == expected
+
+
 def test_heavy_keys_are_cut(spark):
     df = spark.range(10_000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"), F.col("id").alias("at"))
     heavy = heavy_keys(df, ("k",), "at", heavy_rows=100, pieces=8)
