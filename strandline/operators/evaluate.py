@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MOST_TURNS = 10
@@ -92,20 +92,21 @@ def traced_searches(results: DataFrame) -> DataFrame:
     ).withColumns({c: F.when(F.col(c) < 0, F.lit(0).cast("long")).otherwise(F.col(c)) for c in ("n_searches", "n_informed")})
 
 
-def snippets(documents: DataFrame, queries: DataFrame, top: int = 3, chars: int | None = None) -> DataFrame:
-    """(query_id, information): the first `top` documents of each entity that a query names, as the lines of a search result.
+def snippets(documents: DataFrame, queries: DataFrame, top: int = 3) -> DataFrame:
+    """(query_id, information): of each query the `top` documents of its entity as the lines of a search result, whole texts.
 
-    queries = (query_id, entity_id). The ranking is by length, longest first, then id: an offline stand-in for a search service. Words
-    of a query play no part in it. A line has the whole text, or its first `chars` characters.
+    queries = (query_id, entity_id, query). Documents are ranked by how many of the query's different words they have, then by length, longest
+    first, then by id: an offline stand-in for a search service. A query without words ranks by length.
     """
-    from pyspark.sql import Window
-
-    titled = documents.where(F.col("text").isNotNull()).select("entity_id", "doc_id", "source", "text", "n_chars")
-    rank = F.row_number().over(Window.partitionBy("entity_id").orderBy(F.col("n_chars").desc(), "doc_id"))
-    few = titled.withColumn("r", rank).where(F.col("r") <= top)
-    line = F.format_string("Doc %d(Title: %s) %s", F.col("r"), F.coalesce("source", F.lit("None")), F.col("text") if chars is None else F.substring("text", 1, chars))
-    lists = few.groupBy("entity_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", line.alias("l")))), lambda x: x["l"]), "\n").alias("information"))
-    return queries.join(lists, "entity_id", "left").select("query_id", F.coalesce("information", F.lit("")).alias("information"))
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+    titled = documents.where(F.col("text").isNotNull()).select("entity_id", "doc_id", "source", "n_chars", words(F.col("text")).alias("has"))
+    met = queries.withColumn("asks", words(F.col("query"))).join(titled, "entity_id")
+    shared = met.select("query_id", "doc_id", "source", "n_chars", F.size(F.array_intersect("has", F.coalesce("asks", F.array().cast("array<string>")))).alias("shared"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("shared").desc(), F.col("n_chars").desc(), "doc_id"))
+    few = shared.withColumn("r", rank).where(F.col("r") <= top).join(documents.select("doc_id", "text"), "doc_id")
+    line = F.format_string("Doc %d(Title: %s) %s", F.col("r"), F.coalesce("source", F.lit("None")), F.col("text"))
+    lists = few.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", line.alias("l")))), lambda x: x["l"]), "\n").alias("information"))
+    return queries.join(lists, "query_id", "left").select("query_id", F.coalesce("information", F.lit("")).alias("information"))
 
 
 #: Own wording of the two ways of asking.

@@ -118,18 +118,26 @@ def organisation_phrase(kind: Column, parent: Column) -> Column:
     return F.when(F.lower(parent).contains("organization"), F.lower(parent)).when(fits, F.lower(kind))
 
 
+#: What a metaphor is told by, by a part of the relation's name.
+METAPHORS = {"birth": "offspring of ", "capital": "crowned jewel of ", "language": "voice that speaks "}
+ARCHITECT = "cinematic architect"
+
+
 def metaphor(relation: Column, value: Column) -> Column:
     low = F.lower(relation)
-    with_value = [("birth", "offspring of "), ("capital", "crowned jewel of "), ("language", "voice that speaks ")]
     out = F.when(F.lit(False), F.lit(""))
-    for part, phrase in with_value:
+    for part, phrase in METAPHORS.items():
         out = out.when(low.contains(part), F.concat(F.lit(phrase), value))
-    return out.when(low.contains("director"), F.lit("cinematic architect"))
+    return out.when(low.contains("director"), F.lit(ARCHITECT))
 
 
-def direct_attributes(triples: DataFrame) -> DataFrame:
-    """(node, place, property, value, description): the describing facts of every node, (s, p, o, p_label, o_label) given."""
-    fit = triples.withColumn("property", property_name(F.col("p_label"))).where(describes(F.col("property"), F.col("o_label")))
+def direct_attributes(triples: DataFrame, allowed: tuple[str, ...] | None = None) -> DataFrame:
+    """(node, place, property, value, description): the describing facts of every node, (s, p, o, p_label, o_label) given.
+
+    allowed: the predicates that count, such as DESCRIBING; None for all.
+    """
+    kept = triples if allowed is None else triples.where(F.col("p").isin(*allowed))
+    fit = kept.withColumn("property", property_name(F.col("p_label"))).where(describes(F.col("property"), F.col("o_label")))
     place = F.row_number().over(Window.partitionBy("s").orderBy("p", "o")).cast("long")
     text = F.concat_ws(" ", F.lit("has"), F.col("property"), F.col("o_label"))
     return fit.select(F.col("s").alias("node"), place.alias("place"), "property", F.col("o_label").alias("value"), text.alias("description"))
@@ -179,13 +187,19 @@ def indirect_descriptions(attributes: DataFrame, most: int = 2) -> DataFrame:
     return few.groupBy("node").agg(F.transform(F.sort_array(F.collect_list(F.struct("_r", "d"))), lambda x: x["d"]).alias("descriptions"))
 
 
-def expansions(attributes: DataFrame, most: int = 20) -> DataFrame:
+def expansions(attributes: DataFrame, most: int = 100) -> DataFrame:
     """(node, direct_attributes): a node's direct attributes in order, as an array of (property, value, description), `most` at most."""
     few = attributes.where(F.col("place") <= most)
     item = F.struct("place", "property", "value", "description")
     return few.groupBy("node").agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: x.dropFields("place")).alias("direct_attributes"))
 
 
+def first_descriptions(attributes: DataFrame, most: int = 2) -> DataFrame:
+    """(node, descriptions): the first descriptions of a node's direct attributes, in order."""
+    few = attributes.where(F.col("place") <= most)
+    return few.groupBy("node").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "description"))), lambda x: x["description"]).alias("descriptions"))
+
+
 def metaphors(attributes: DataFrame) -> DataFrame:
     """(node, description): metaphors for the first three attributes of a node."""
     said = attributes.where(F.col("place") <= 3).select("node", metaphor(F.col("property"), F.col("value")).alias("description"))

@@ -50,18 +50,21 @@ def greedy_stratified(graph: DataFrame, total: int) -> DataFrame:
     first 3 * total facts of each predicate are enough for an exact choice; the result is at most `total` rows.
     """
     sizes = graph.groupBy("p").agg(F.count(F.lit(1)).alias("size"))
+    quota = graph.agg(F.greatest(F.lit(1), F.floor(F.lit(total) / F.greatest(F.lit(1), F.count_distinct("p")))).alias("quota")).withColumn("one", F.lit(0))  # of all predicates, as in stratified()
     order = hash_order("s", "p", "o")
     pool = single_valued(graph).withColumn("place", F.row_number().over(Window.partitionBy("p").orderBy(order, "s")).cast("long"))
-    pool = pool.where(F.col("place") <= 3 * total).join(F.broadcast(sizes), "p").select(F.lit(0).alias("one"), "s", "p", "o", "place", "size")
+    pool = pool.where(F.col("place") <= 3 * total).join(sizes, "p").withColumn("one", F.lit(0)).join(F.broadcast(quota), "one").select("one", "s", "p", "o", "place", "size", "quota")
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["size", "p", "place"], ascending=[False, True, True])
-        quota = max(1, total // max(1, rows["p"].nunique()))
         used: set[str] = set()
-        taken = []
+        taken, many = [], 0
         for _, group in rows.groupby("p", sort=False):
-            free = group[~group["s"].isin(used)].head(quota)
+            if many >= total:
+                break
+            free = group[~group["s"].isin(used)].head(int(group["quota"].iloc[0]))
             taken.append(free)
+            many += len(free)
             used |= set(free["s"]) | set(free["o"])
         return pd.concat(taken).head(total)[["s", "p", "o", "place"]] if taken else rows[["s", "p", "o", "place"]]
 
@@ -77,7 +80,8 @@ def bridges(graph: DataFrame) -> DataFrame:
     """(a, p1, b, p2, c): two facts a-p1-b, b-p2-c where b is the only node between a and c by these predicates.
 
     Nodes between are counted before b = a and b = c are left out; a and c differ. Pairs of predicates that lead back are left out
-    before the join, so they cost nothing.
+    before the join, so they cost nothing. The paths through a hub are as many as its facts in times its facts out, and are results for the
+    most part; Spark splits the join at a hub by its size (AQE).
     """
     t1 = graph.select(F.col("s").alias("a"), F.col("p").alias("p1"), F.col("o").alias("b"))
     t2 = graph.select(F.col("s").alias("b"), F.col("p").alias("p2"), F.col("o").alias("c"))
@@ -125,21 +129,28 @@ def greedy_bridges(found: DataFrame, most: int, pool: int = 20_000) -> DataFrame
     return found.sparkSession.createDataFrame(taken, found.schema)
 
 
-def ordered_constraints(graph: DataFrame, most: int = 5, least: int = 3) -> DataFrame:
-    """(e, i, p, o): the distinct attributes of entities with at least `least` of them, numbered in hash order, the first `most`."""
-    w = Window.partitionBy("e").orderBy(hash_order("e", "p", "o"), "p", "o")
-    numbered = graph.toDF("e", "p", "o").withColumns({"i": F.row_number().over(w).cast("long"), "n": F.count(F.lit(1)).over(Window.partitionBy("e"))})
-    return numbered.where((F.col("n") >= least) & (F.col("i") <= most)).select("e", "i", "p", "o")
+def ordered_constraints(graph: DataFrame, most: int = 5, least: int = 3, rows: DataFrame | None = None, seed: int = 42) -> DataFrame:
+    """(e, i, p, o): the distinct attributes of entities with at least `least` of them, numbered in hash order, the first `most`.
+
+    With rows (subject_id, n), as triples.degrees() has them, repeated rows count for `least`.
+    """
+    facts = graph.toDF("e", "p", "o")
+    if rows is not None:
+        facts = facts.join(rows.where(F.col("n") >= least).select(F.col("subject_id").alias("e")), "e", "left_semi")
+    w = Window.partitionBy("e").orderBy(hash_order("e", "p", "o", seed=seed), "p", "o")
+    numbered = facts.withColumns({"i": F.row_number().over(w).cast("long"), "n": F.count(F.lit(1)).over(Window.partitionBy("e"))})
+    kept = numbered if rows is not None else numbered.where(F.col("n") >= least)
+    return kept.where(F.col("i") <= most).select("e", "i", "p", "o")
 
 
-def smallest_prefixes(graph: DataFrame, most: int = 5, least: int = 3) -> DataFrame:
+def smallest_prefixes(graph: DataFrame, own: DataFrame | None = None) -> DataFrame:
     """(e, k): the smallest k >= 2 for which the first k attributes of e fit no other entity.
 
     Every prefix holds the first two attributes, so the entities to compare are those that share the rarer of the two, not those of every
     attribute; a hub value multiplies rows only where both are hubs. An entity always fits its own attributes, so a count of
-    one means itself.
+    one means itself. `own` (e, i, p, o) are the entities' constraints, as ordered_constraints() gives them, of this graph or a part of it.
     """
-    own = ordered_constraints(graph, most, least)
+    own = ordered_constraints(graph) if own is None else own
     fans = graph.groupBy("p", "o").agg(F.count(F.lit(1)).alias("fan"))
     rarer = own.where("i <= 2").join(fans, ["p", "o"]).groupBy("e").agg(F.min_by(F.struct("p", "o"), F.struct("fan", "i")).alias("r"), F.max("i").alias("m")).where("m = 2")
     others = rarer.select("e", "r.p", "r.o").join(graph.withColumnRenamed("s", "other"), ["p", "o"]).select("e", "other")
@@ -155,6 +166,32 @@ def smallest_prefixes(graph: DataFrame, most: int = 5, least: int = 3) -> DataFr
     return counted.where("fit = 1").select("e", F.greatest(F.lit(2).cast("long"), F.coalesce(F.col("next_run") + 1, F.lit(2).cast("long"))).alias("k"))
 
 
+def extended_prefixes(graph: DataFrame, own: DataFrame, more: DataFrame, most: int = 6) -> tuple[DataFrame, DataFrame]:
+    """((e, k), (e, i, p, o)): smallest_prefixes() over own attributes (s, p, o) and further ones together, in a new hash order, k = 2 to `most`; and the constraints.
+
+    Only entities that gain an attribute are tried. A prefix counts only if the entity itself has all of it in the graph, so those from the first
+    attribute on that the graph lacks are left out; a prefix that fits nobody is passed over.
+    """
+    gaining = more.select("s").distinct()
+    together = own.select("s", "p", "o").join(gaining, "s", "left_semi").unionByName(more.select("s", "p", "o")).distinct()
+    ordered = ordered_constraints(together, most, 2, seed=43)
+    there = graph.select(F.col("s").alias("e"), "p", "o", F.lit(True).alias("there"))
+    marked = ordered.join(there, ["e", "p", "o"], "left")
+    held = F.min(F.when(F.col("there").isNull(), F.col("i"))).over(Window.partitionBy("e"))
+    kept = marked.withColumn("missing", held).where(F.col("missing").isNull() | (F.col("i") < F.col("missing"))).select("e", "i", "p", "o")
+    return smallest_prefixes(graph, kept), kept
+
+
+def constrained_entities(graph: DataFrame, own: DataFrame, rows: DataFrame, more: DataFrame, most: int | None = None) -> DataFrame:
+    """(e, k, extended): entities with a smallest set of constraints, by their own attributes or, failing that, by extended ones; the first `most` in hash order."""
+    first = smallest_prefixes(graph, ordered_constraints(own, rows=rows)).withColumn("extended", F.lit(False))
+    enough = rows.select(F.col("subject_id").alias("s"))
+    rest = own.join(enough, "s", "left_semi").join(first.select(F.col("e").alias("s")), "s", "left_anti")
+    second, _ = extended_prefixes(graph, rest, more.join(rest.select("s").distinct(), "s", "left_semi"))
+    found = first.unionByName(second.withColumn("extended", F.lit(True)))
+    return found.orderBy(hash_order("e"), "e").limit(most) if most else found
+
+
 def extensions(triples: DataFrame, names: DataFrame, allowed: tuple[str, ...] = EXTENDING, own: DataFrame | None = None, most: int = 20) -> DataFrame:
     """(s, p, o, p_label, o_label): further attributes of each entity: allowed predicates that `own` (s, p) lacks, `most` of each entity.
 

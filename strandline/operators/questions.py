@@ -87,19 +87,26 @@ def multi_attribute(prefixes: DataFrame, constraints: DataFrame, names: DataFram
     )
 
 
-def abstracted(level2: DataFrame, descriptions: DataFrame) -> DataFrame:
-    """(e, question, answer, constraint_texts): level 3: the first three constraints with their objects described, (node, description) given, where there is a description.
+def abstracted(level2: DataFrame, descriptions: DataFrame, by_label: bool = False) -> DataFrame:
+    """(e, question, answer, constraint_texts, n_abstract): level 3: the first three constraints with their objects described, where there is a description.
 
-    Constraints stay structured until here, so labels with a colon do no harm. A question needs two constraints.
+    descriptions = (node, description), several of a node as rows or as an array column `descriptions`; of an array one of the first two is
+    picked by a hash. by_label: `node` is a label. Constraints stay structured until here, so labels with a colon do no harm.
+    A question needs two constraints before and after.
     """
     part = level2.where(F.size("constraints") >= 2).select("e", "answer", F.posexplode(F.slice("constraints", 1, 3)).alias("i", "c"))
-    told = part.join(descriptions.toDF("_node", "description"), F.col("c.o") == F.col("_node"), "left")
+    wanted = F.col("c.o_label" if by_label else "c.o")
+    told = part.join(descriptions.withColumnRenamed("node", "_node"), wanted == F.col("_node"), "left")
+    if "descriptions" in descriptions.columns:
+        told = told.withColumn("_o", F.col("c.o")).withColumn("description", chosen_description(F.col("descriptions"), "e", "_o"))
     plain = F.concat_ws(": ", "c.p_label", "c.o_label")
     hidden = F.format_string("abstract [%s] As [%s: %s]", plain, F.col("c.p_label"), F.col("description"))
     text = F.when(F.col("description").isNotNull(), hidden).otherwise(plain)
-    again = told.groupBy("e", "answer").agg(F.sort_array(F.collect_list(F.struct("i", text.alias("t"), F.coalesce("description", "c.o_label").alias("d"), F.col("c.p_label").alias("p")))).alias("parts"))
+    item = F.struct("i", text.alias("t"), F.coalesce("description", "c.o_label").alias("d"), F.col("c.p_label").alias("p"), F.col("description").isNotNull().alias("told"))
+    again = told.groupBy("e", "answer").agg(F.sort_array(F.collect_list(item)).alias("parts")).where(F.size("parts") >= 2)
     question = F.concat(F.lit("Which entity "), F.concat_ws(" and ", F.transform("parts", lambda x: F.concat_ws(" ", F.lit("has"), x["p"], x["d"]))), F.lit("?"))
-    return again.select("e", question.alias("question"), "answer", F.transform("parts", lambda x: x["t"]).alias("constraint_texts"))
+    n = F.size(F.filter("parts", lambda x: x["told"])).cast("long")
+    return again.select("e", question.alias("question"), "answer", F.transform("parts", lambda x: x["t"]).alias("constraint_texts"), n.alias("n_abstract"))
 
 
 def chosen_description(descriptions: Column, *ids: str) -> Column:
@@ -116,9 +123,20 @@ def abstracted_bridge(found: DataFrame, descriptions: DataFrame) -> DataFrame:
     start, middle = descriptions.toDF("a", "a_told"), descriptions.toDF("b", "b_told")
     told = found.join(start, "a", "left").join(middle, "b", "left")
     text = F.format_string("What is the %s of %s, the %s of %s?", F.col("p2_label"), F.coalesce("b_told", F.lit("something")), F.col("p1_label"), F.coalesce("a_told", "a_label"))
-    return told.select("a", "p1", "b", "p2", "c", text.alias("question"), F.col("c_label").alias("answer"))
+    return told.select(*[c for c in ("record_id",) if c in found.columns], "a", "p1", "b", "p2", "c", text.alias("question"), F.col("c_label").alias("answer"))
 
 
 def by_type(records: DataFrame, bridge_form, multi_form) -> DataFrame:
     """The level-3 form of each level-2 record (type, ...): bridges and sets of constraints by their own form, others left out."""
     return bridge_form(records.where(F.col("type") == "bridge")).unionByName(multi_form(records.where(F.col("type") == "multi_attribute")), allowMissingColumns=True)
+
+
+def level3(records: DataFrame, bridge_form, multi_form, most: int = 200) -> DataFrame:
+    """(record_id, type, question, answer): the level-3 questions of level-2 records (record_id, type, ...), taken in hash order of their ids until there are `most`.
+
+    Each form takes the records of its type and gives (record_id, question, answer) of those that it can word.
+    """
+    form = lambda f: lambda rows: f(rows).select("record_id", "question", "answer")
+    worded_ = by_type(records, form(bridge_form), form(multi_form))
+    named = worded_.join(records.select("record_id", F.concat(F.lit("abstract_"), F.col("type")).alias("type")), "record_id")
+    return named.orderBy(hash_order("record_id"), "record_id").limit(most).select("record_id", "type", "question", "answer")

@@ -134,7 +134,7 @@ def test_streams(spark, tmp_path):
     assert {tuple(r) for r in streamed.collect()} == {tuple(r) for r in latest_state(changes).collect()}
     from strandline.operators.lsm import current_state
 
-    assert {tuple(r) for r in stream_state(spark, str(tmp_path / "in"), changes.schema, 2, 2).read().collect()} == {tuple(r) for r in current_state(changes, buckets=2).collect()}
+    assert {tuple(r) for r in stream_state(spark, str(tmp_path / "in"), changes.schema, 2).read().collect()} == {tuple(r) for r in current_state(changes, buckets=2).collect()}
     stream = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     assert len(until_enough(stream, 7, str(tmp_path / "marks"))) == 7
 
@@ -142,6 +142,7 @@ def test_streams(spark, tmp_path):
 def test_snippets_give_whole_texts(spark):
     long = "word " * 60 + "Mosel"
     documents = spark.createDataFrame([(1, "Q1", "s", long, len(long)), (2, "Q1", None, "short", 5)], "doc_id bigint, entity_id string, source string, text string, n_chars bigint")
-    queries = spark.createDataFrame([("a", "Q1"), ("b", "Q2")], "query_id string, entity_id string")
-    assert {tuple(r) for r in evaluate.snippets(documents, queries).collect()} == {("a", f"Doc 1(Title: s) {long}\nDoc 2(Title: None) short"), ("b", "")}
-    assert {tuple(r) for r in evaluate.snippets(documents, queries, chars=3).collect()} == {("a", "Doc 1(Title: s) wor\nDoc 2(Title: None) sho"), ("b", "")}
+    queries = spark.createDataFrame([("a", "Q1", "the Mosel"), ("b", "Q2", "x"), ("c", "Q1", "a short one"), ("d", "Q1", None)], "query_id string, entity_id string, query string")
+    found = dict(map(tuple, evaluate.snippets(documents, queries).collect()))
+    first = f"Doc 1(Title: s) {long}\nDoc 2(Title: None) short"
+    assert found == {"a": first, "b": "", "c": f"Doc 1(Title: None) short\nDoc 2(Title: s) {long}", "d": first}
