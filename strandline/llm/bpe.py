@@ -1,15 +1,15 @@
 """Encoding of a corpus by a public byte-level BPE vocabulary.
 
 Texts are split by the vocabulary's pattern. The distinct pieces of a batch are put into numpy matrices, one per
-length class, padded with -1, a row per piece, and merged together: each round every row merges its leftmost pair of
-minimum rank, the row closes up, and rows without a pair left leave the matrix. Pair ranks come from an open-addressed
-hash table in two arrays; after a merge only the two new pairs of a row are looked up.
+length class, padded with -1, a row per piece, and merged together: each round every row merges its pairs of minimum rank
+from the left (where no pair of the joined token ranks before it, so that the next leftmost one would be of the same rank; else the
+leftmost pair alone), the row closes up, and rows without a pair left leave the matrix. Pair ranks come from an open-addressed hash table in two arrays; after a merge only the
+new pairs of a row are looked up. Pieces of any length go this way: a row takes as many rounds as it has different ranks.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,8 +23,8 @@ from strandline.llm.lookup import Lookup
 #: Fixed value: where the public vocabularies lie, and the one that p6_ids encodes by.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 NO_RANK = np.int32(2**31 - 1)
-#: Pieces longer than this are merged one by one with a heap: a row as long would keep its matrix for too many rounds.
-LONG_PIECE = 256
+#: Cells of a matrix at most, or one row.
+CELLS = 4_000_000
 #: Distinct pieces that a task keeps encoded; beyond it starts anew.
 KEPT_PIECES = 400_000
 
@@ -37,6 +37,8 @@ class Vocabulary:
     of_byte: np.ndarray
     pairs: Lookup
     ranks: np.ndarray
+    #: Whether a token, by rank, has a pair that ranks before it, so that its pairs have to be joined one at a time.
+    early: np.ndarray
 
     def lookup(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of pairs, NO_RANK where the pair is no token or one of it is padding."""
@@ -64,94 +66,74 @@ def read_vocabulary(path: str = TOKENIZER, pattern: str | None = None) -> Vocabu
                 pairs[(left << 32) | right] = rank
     keys, values = np.fromiter(pairs, np.uint64, len(pairs)), np.fromiter(pairs.values(), np.int32, len(pairs))
     of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-    return Vocabulary(pattern, of_byte, Lookup(keys), values)
+    left, right = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    early = np.zeros(max(ranks.values()) + 1, bool)
+    early[left[values < left]] = True
+    early[right[values < right]] = True
+    return Vocabulary(pattern, of_byte, Lookup(keys), values, early)
 
 
 def merge_matrix(ids: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Merges all rows of a matrix of byte ids, padded with -1; gives the merged matrix and the rows' lengths."""
-    done = ids.copy()
+    done = np.full_like(ids, -1)
     rows, live = np.arange(len(ids)), ids.copy()
-    n, width = live.shape
-    ranks = vocabulary.lookup(live[:, :-1].ravel(), live[:, 1:].ravel()).reshape(n, max(width - 1, 0))
-    while ranks.shape[1] and len(rows):
-        place = ranks.argmin(axis=1)
-        least = ranks[np.arange(len(rows)), place]
+    ranks = np.full(live.shape, NO_RANK, np.int32)
+    ranks[:, :-1] = vocabulary.lookup(live[:, :-1].ravel(), live[:, 1:].ravel()).reshape(len(live), -1)
+    while len(rows):
+        least = ranks.min(axis=1)
         open_ = least != NO_RANK
         if not open_.all():
             done[rows[~open_], : live.shape[1]] = live[~open_]
-            done[rows[~open_], live.shape[1] :] = -1
-            rows, live, ranks, place, least = rows[open_], live[open_], ranks[open_], place[open_], least[open_]
+            rows, live, ranks, least = rows[open_], live[open_], ranks[open_], least[open_]
             if not len(rows):
                 break
-        at = np.arange(len(rows))
-        # The row closes up: what is right of the merged pair moves one to the left.
-        columns = np.arange(live.shape[1] - 1)
-        live = np.take_along_axis(live, columns + (columns > place[:, None]), axis=1)
-        live[at, place] = least
-        columns = columns[:-1]
-        ranks = np.take_along_axis(ranks, columns + (columns > place[:, None]), axis=1)
-        if ranks.shape[1]:
-            has_left, has_right = place > 0, place < ranks.shape[1]
-            a, b = at[has_left], at[has_right]
-            ranks[a, place[has_left] - 1] = vocabulary.lookup(live[a, place[has_left] - 1], live[a, place[has_left]])
-            ranks[b, place[has_right]] = vocabulary.lookup(live[b, place[has_right]], live[b, place[has_right] + 1])
-    if len(rows):
-        done[rows, : live.shape[1]] = live
-        done[rows, live.shape[1] :] = -1
+        at = ranks == least[:, None]
+        columns = np.arange(live.shape[1])
+        alone = vocabulary.early[least]
+        if alone.any():
+            at[alone] = columns == at[alone].argmax(axis=1)[:, None]
+        if (at[:, 1:] & at[:, :-1]).any():  # of pairs that overlap every second one, from the left
+            begins = at.copy()
+            begins[:, 1:] &= ~at[:, :-1]
+            at &= (columns - np.maximum.accumulate(np.where(begins, columns, 0), axis=1)) % 2 == 0
+        live = np.where(at, least[:, None], live)
+        keep = live >= 0
+        keep[:, 1:] &= ~at[:, :-1]
+        new_pair = at.copy()
+        new_pair[:, :-1] |= at[:, 1:]
+        # The rows close up.
+        count = keep.sum(axis=1)
+        row = np.repeat(np.arange(len(rows)), count)
+        column = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        closed, closed_ranks = np.full((len(rows), count.max()), -1, np.int32), np.full((len(rows), count.max()), NO_RANK, np.int32)
+        closed[row, column], closed_ranks[row, column] = live[keep], ranks[keep]
+        changed = new_pair[keep]
+        row, column = row[changed], column[changed]
+        inside = column + 1 < closed.shape[1]
+        found = np.full(len(row), NO_RANK, np.int32)
+        found[inside] = vocabulary.lookup(closed[row[inside], column[inside]], closed[row[inside], column[inside] + 1])
+        closed_ranks[row, column] = found
+        live, ranks = closed, closed_ranks
     return done, (done >= 0).sum(axis=1)
 
 
-def merge_long(piece: bytes, vocabulary: Vocabulary) -> np.ndarray:
-    """The ids of one long piece: the same merges, leftmost minimum rank first, from a heap."""
-    ids = vocabulary.of_byte[np.frombuffer(piece, np.uint8)]
-    first = vocabulary.lookup(ids[:-1], ids[1:])
-    ids = ids.tolist()
-    after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
-    known: dict[tuple[int, int], int] = {}
-
-    def rank(a: int, b: int) -> int:
-        if (a, b) not in known:
-            known[a, b] = int(vocabulary.lookup(np.array([a]), np.array([b]))[0])
-        return known[a, b]
-
-    heap = [(int(r), i, ids[i], ids[i + 1]) for i, r in enumerate(first) if r != NO_RANK]
-    heapq.heapify(heap)
-    while heap:
-        r, i, a, b = heapq.heappop(heap)
-        j = after[i]
-        if ids[i] != a or j >= len(ids) or ids[j] != b:
-            continue
-        ids[i], ids[j] = r, -1
-        after[i] = after[j]
-        if after[j] < len(ids):
-            before[after[j]] = i
-            if (x := rank(r, ids[after[i]])) != NO_RANK:
-                heapq.heappush(heap, (x, i, r, ids[after[i]]))
-        if before[i] >= 0 and (x := rank(ids[before[i]], r)) != NO_RANK:
-            heapq.heappush(heap, (x, before[i], ids[before[i]], r))
-    return np.array([x for x in ids if x >= 0], np.int32)
-
-
 def encode_pieces(pieces: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all pieces one after the other, and where each piece's ids begin (with the end of the last one)."""
     sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
     lengths = np.zeros(len(pieces), np.int64)
     parts: list[tuple[np.ndarray, np.ndarray]] = []
     low, high = 0, 4
-    while low < LONG_PIECE:
-        for block in np.array_split(chosen := np.flatnonzero((sizes > low) & (sizes <= high)), max(1, len(chosen) * high // 4_000_000)):
+    while low < sizes.max(initial=0):
+        chosen = np.flatnonzero((sizes > low) & (sizes <= high))
+        for block in np.array_split(chosen, max(1, len(chosen) * high // CELLS)):
             if len(block):
                 n = sizes[block]
                 flat = np.frombuffer(b"".join([pieces[i] for i in block]), np.uint8)
-                matrix = np.full((len(block), high), -1, np.int32)
-                matrix[np.arange(high) < n[:, None]] = vocabulary.of_byte[flat]
+                matrix = np.full((len(block), int(n.max())), -1, np.int32)
+                matrix[np.arange(matrix.shape[1]) < n[:, None]] = vocabulary.of_byte[flat]
                 merged, lengths[block] = merge_matrix(matrix, vocabulary)
                 parts.append((np.repeat(block, lengths[block]), merged[merged >= 0]))
-        low, high = high, min(high * 2, LONG_PIECE) if high < LONG_PIECE else LONG_PIECE
-    for i in np.flatnonzero(sizes > LONG_PIECE):
-        ids = merge_long(pieces[i], vocabulary)
-        lengths[i] = len(ids)
-        parts.append((np.full(len(ids), i), ids))
+        low, high = high, high * 2
     starts = np.concatenate([[0], np.cumsum(lengths)])
     if not parts:
         return np.zeros(0, np.int32), starts

@@ -12,6 +12,7 @@ with a fixed cost per change (Viterbi) gives the segments.
 
 from __future__ import annotations
 
+import io
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -118,6 +119,21 @@ class Trees:
             lower_keys, lower_bits = keys, bits
         self.rows, self.contexts = Lookup(np.concatenate(rows)), Lookup(np.concatenate(contexts))
 
+    def dump(self) -> bytes:
+        """The trees as bytes, to keep them: what they say of a text then depends on no other text."""
+        file = io.BytesIO()
+        np.savez_compressed(file, languages=np.array(self.languages), rows=self.rows.given, contexts=self.contexts.given, row_bits=self.row_bits, escape_bits=self.escape_bits)
+        return file.getvalue()
+
+    @classmethod
+    def load(cls, kept: bytes) -> Trees:
+        trees = cls.__new__(cls)
+        with np.load(io.BytesIO(kept)) as parts:
+            trees.languages = tuple(parts["languages"].tolist())
+            trees.row_bits, trees.escape_bits = parts["row_bits"], parts["escape_bits"]
+            trees.rows, trees.contexts = Lookup(parts["rows"]), Lookup(parts["contexts"])
+        return trees
+
     @staticmethod
     def _bytes(texts: list[str]) -> np.ndarray:
         return np.frombuffer(b"\n" * ORDER + "\n".join(map(plain, texts)).encode(), np.uint8).astype(np.uint64)
@@ -331,14 +347,14 @@ def learn(docs: DataFrame, doc_id: str, text: str, lang: str, sample_docs: int =
 
 
 def language_segments(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS, trees: Trees | None = None
 ) -> DataFrame:
     """(doc_id, label, segment_no, segment_lang, confidence, mixed): the segments of every document that has a language.
 
-    label is the language that `lang` names, NULL if none. Texts that are NULL, blank or without any language have no row, nor have rows without an id.
-    Empty input gives an empty result; rows of equal ids are documents of their own; other columns are ignored.
+    label is the language that `lang` names, NULL if none. Texts that are NULL, blank or without any language have no row; a NULL id stays NULL.
+    `trees`: kept ones (Trees.load); without them they are learnt from the documents, and an answer depends on what these are. Empty input gives an empty result; rows of equal ids are documents of their own; other columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, doc_id, text, lang, sample_docs))
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, doc_id, text, lang, sample_docs) if trees is None else trees)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trees = shared.value
@@ -355,12 +371,13 @@ def language_segments(
                     at += len(units)
                 yield pd.DataFrame(out, columns=["doc_id", "label", "segment_no", "segment_lang", "confidence", "mixed"])
 
-    schema = "doc_id bigint, label string, segment_no bigint, segment_lang string, confidence double, mixed boolean"
-    plain_docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), label_language(F.col(lang)).alias("label"))
-    return plain_docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).mapInPandas(assign, schema)
+    schema = "doc_id string, label string, segment_no bigint, segment_lang string, confidence double, mixed boolean"
+    ids = F.col(doc_id).cast("string").alias("doc_id")  # pandas has no NULL among whole numbers
+    plain_docs = docs.select(ids, F.col(text).alias("text"), label_language(F.col(lang)).alias("label"))
+    return plain_docs.where(F.col("text").isNotNull()).mapInPandas(assign, schema).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def mislabelled_segments(docs: DataFrame, **columns: str) -> DataFrame:
+def mislabelled_segments(docs: DataFrame, **columns) -> DataFrame:
     """(doc_id, segment_no, segment_lang) of the documents that mix languages or whose label is missing or wrong."""
     found = language_segments(docs, **columns)
     wrong = F.col("mixed") | F.col("label").isNull() | (F.col("label") != F.col("segment_lang"))

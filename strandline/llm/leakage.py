@@ -11,17 +11,17 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 K, WINDOW = 6, 7
 SPAN = K + WINDOW - 1
-#: Items up to this many characters in all go to the workers; beyond it fingerprints are joined by a shuffle.
-BROADCAST_CHARS = 8_000_000
+#: Characters of items that go to the workers at a time.
+BLOCK_CHARS = 8_000_000
 find_words = re.compile(r"[^\W_]+").findall
 NOTHING = np.uint64(2**64 - 1)
 
@@ -103,19 +103,24 @@ class Items:
 
 
 def leaked_items(
-    docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", broadcast_chars: int = BROADCAST_CHARS
+    docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", block_chars: int = BLOCK_CHARS
 ) -> DataFrame:
     """(doc_id, item_id): each pair of a document and an item whose texts share 12 consecutive words.
 
-    Words are the maximal runs of letters and digits, lower-cased. NULL and short texts share nothing; rows without an id are left out. Rows of equal
-    (doc_id, item_id) appear once per document row. Other columns are ignored. Items of at most broadcast_chars characters in
-    all are sent to the workers and documents are read once, without a shuffle; larger ones are joined by fingerprint.
+    Words are the maximal runs of letters and digits, lower-cased. NULL and short texts share nothing; a NULL id stays NULL. Rows of equal
+    ids are documents or items of their own, so a pair of ids may come once for each. Other columns are ignored. Items are taken in blocks of about block_chars
+    characters (by a hash of text and id; one longer item is a block), and documents are scanned once for each.
     """
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull())
-    items = items.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")).where(F.col("item_id").isNotNull())
+    docs = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).alias("text"))  # pandas has no NULL among whole numbers
+    items = items.select(F.col(item_id).alias("item_id"), F.col(text).alias("text"))
     size = items.agg(F.sum(F.length("text") + 16)).first()[0] or 0
-    if size > broadcast_chars:
-        return _joined(docs, items)
+    blocks = -(-size // block_chars) or 1
+    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
+    found = [_searched(docs, items.where(block == i)) for i in range(blocks)]
+    return reduce(DataFrame.unionAll, found).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("item_id").cast("long").alias("item_id"))
+
+
+def _searched(docs: DataFrame, items: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(Items([tuple(r) for r in items.collect()]))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -125,31 +130,6 @@ def leaked_items(
                 pairs = shared.value.leaks(part["text"].tolist())
                 if pairs:
                     ids = part["doc_id"].to_numpy()
-                    yield pd.DataFrame({"doc_id": [ids[row] for row, _ in pairs], "item_id": [item for _, item in pairs]})
-
-    return docs.mapInPandas(search, "doc_id bigint, item_id bigint")
-
+                    yield pd.DataFrame({"doc_id": [ids[row] for row, _ in pairs], "item_id": [None if item is None else str(item) for _, item in pairs]})
 
-def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The same by a join of fingerprints, for items of any size; only documents with a hit are read again."""
-
-    def fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row_id, text in zip(batch.iloc[:, 0], batch.iloc[:, 1]):
-                run = np.array([xxhash.xxh3_64_intdigest(w) for w in words(text)], np.uint64)
-                _, grams = winnow(run, np.ones(len(run), bool))
-                if len(grams):
-                    yield pd.DataFrame({"id": row_id, "gram": np.unique(grams).view(np.int64)})
-
-    def confirmed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            keep = [
-                bool(Items([(0, item)]).leaks([text])) for text, item in zip(batch["text"], batch["item_text"])
-            ]
-            yield batch.loc[keep, ["doc_id", "item_id"]]
-
-    doc_grams = docs.mapInPandas(fingerprints, "id bigint, gram bigint").withColumnRenamed("id", "doc_id")
-    item_grams = items.mapInPandas(fingerprints, "id bigint, gram bigint").withColumnRenamed("id", "item_id")
-    hits = doc_grams.join(item_grams, "gram").select("doc_id", "item_id").distinct()
-    texts = docs.join(hits, "doc_id").join(items.withColumnRenamed("text", "item_text"), "item_id")
-    return texts.select("doc_id", "item_id", "text", "item_text").mapInPandas(confirmed, "doc_id bigint, item_id bigint")
+    return docs.mapInPandas(search, "doc_id string, item_id string")

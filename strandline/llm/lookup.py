@@ -12,6 +12,7 @@ class Lookup:
     """Places of keys in the array it was built from, by open addressing with linear probing."""
 
     def __init__(self, keys: np.ndarray) -> None:
+        self.given = keys
         self.size = 1 << max(4, (len(keys) * 3).bit_length())
         self.shift = np.uint64(64 - (self.size.bit_length() - 1))
         self.keys, self.places = np.full(self.size, EMPTY, np.uint64), np.full(self.size, -1, np.int32)
