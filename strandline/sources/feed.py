@@ -2,29 +2,40 @@
 
 A page is a JSON file with a list of change records, newest first, as a live endpoint would give it; pages are named so that they
 sort in the order of arrival. The batch reader has a partition per page and leaves out pages and records outside the asked
-time; the stream reader's offset is the number of pages read. A live endpoint takes the place of `list_pages` and `read_page`.
+time; the stream reader's offset is the number of pages read. `land_pages` follows a live endpoint page by page into the folder.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
-from pathlib import Path
+import time
+from collections.abc import Callable, Iterator
 
+from pyarrow import fs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThanOrEqual, InputPartition, LessThanOrEqual
 
 from strandline import schemas
 
 
+def _place(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path on it."""
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
 def list_pages(path: str) -> list[str]:
-    return sorted(str(p) for p in Path(path).glob("*.json"))
+    system, folder = _place(path)
+    prefix = path[: len(path) - len(folder)] if path.endswith(folder) else ""
+    found = system.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+    return sorted(prefix + f.path for f in found if f.is_file and f.path.endswith(".json") and not f.base_name.startswith("."))
 
 
 def read_page(page: str) -> Iterator[tuple]:
     """(title, comment, revid, old_revid, timestamp) of the edits of a page; a page that is no list of records has none."""
+    system, path = _place(page)
     try:
-        records = json.loads(Path(page).read_text("utf-8"))
+        with system.open_input_stream(path) as file:
+            records = json.loads(file.read().decode("utf-8"))
     except (OSError, ValueError):
         return
     for r in records if isinstance(records, list) else []:
@@ -32,6 +43,44 @@ def read_page(page: str) -> Iterator[tuple]:
             yield r.get("title"), r.get("comment"), r.get("revid"), r.get("old_revid"), r.get("timestamp")
 
 
+def paged(client: Callable[[dict], dict], since: str | None = None, size: int = 500, wait: float = 5.0, tries: int | None = None, sleep: Callable[[float], None] = time.sleep) -> Iterator[list[dict]]:
+    """The pages of an endpoint, newest first, as far back as `since` (all of them without it).
+
+    client(request) gives {"records": [...], "continue": {...}}; what it says to continue with is put into the next request, and none ends the
+    feed. A failed request is tried again after `wait` seconds, without end or `tries` times, after which its error is raised.
+    """
+    request: dict = {"limit": size, **({"end": since} if since else {})}
+    failed = 0
+    while True:
+        try:
+            reply = client(dict(request))
+        except Exception:  # noqa: BLE001  whatever the service raises
+            failed += 1
+            if tries is not None and failed >= tries:
+                raise
+            sleep(wait)
+            continue
+        failed = 0
+        yield reply.get("records", [])
+        if not reply.get("continue"):
+            return
+        request |= reply["continue"]
+
+
+def land_pages(pages: Iterator[list[dict]], path: str) -> int:
+    """Writes pages into a folder behind those that are there, each whole or not at all, and gives their number."""
+    system, folder = _place(path)
+    system.create_dir(folder, recursive=True)
+    there = len(list_pages(path))
+    n = 0
+    for n, page in enumerate(pages, 1):
+        name = f"{there + n:09d}.json"
+        with system.open_output_stream(f"{folder}/.{name}") as file:
+            file.write(json.dumps(page, ensure_ascii=False).encode("utf-8"))
+        system.move(f"{folder}/.{name}", f"{folder}/{name}")
+    return n
+
+
 class Page(InputPartition):
     def __init__(self, page: str) -> None:
         self.page = page

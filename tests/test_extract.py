@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandline import schemas
 from strandline.operators import evaluate, extract
-from strandline.sources import feed, records
+from strandline.sources import feed, lookups, records
 from strandline.sources.tables import table
 from strandline.streaming.latest import latest_state, stream_latest, stream_state, until_enough
 
@@ -146,3 +146,53 @@ def test_snippets_give_whole_texts(spark):
     found = dict(map(tuple, evaluate.snippets(documents, queries).collect()))
     first = f"Doc 1(Title: s) {long}\nDoc 2(Title: None) short"
     assert found == {"a": first, "b": "", "c": f"Doc 1(Title: None) short\nDoc 2(Title: s) {long}", "d": first}
+
+
+def test_lookups_in_chunks(spark):
+    ids = spark.createDataFrame([(f"Q{i}",) for i in range(120)] + [("Q1",), (None,)], "id string").coalesce(1)
+    sizes = spark.sparkContext.accumulator(0)
+    calls, failed = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def labels(part):
+        calls.add(1)
+        sizes.add(len(part))
+        if "Q7" in part:
+            raise OSError("down")
+        return {i: f"label {i}" for i in part if i != "Q99"}
+
+    named = {r.id: r.label for r in lookups.label_names(ids, labels, failed=failed).collect()}
+    assert set(named) == {f"Q{i}" for i in range(120)} and named["Q7"] == "Q7" and named["Q99"] == "Q99"
+    assert sizes.value == 120 and calls.value >= 3 and failed.value <= 50
+    assert sum(k == v for k, v in named.items()) == failed.value + (named["Q99"] == "Q99" and failed.value < 120)
+    assert lookups.label_names(ids.limit(0), labels).count() == 0
+
+
+def test_extraction_from_looked_up_inputs(spark):
+    recs = spark.createDataFrame([("Q1", "set [[Property:P1]]", 2, 1, "2025-01-01T00:00:00Z"), ("Q2", "set [[Property:P1]]", 4, 3, "2025-01-01T00:00:00Z"), ("Talk:Q1", "x", 5, None, "x")], schemas.CHANGE_RECORD)
+    known = {"Q1": {"labels": {"en": {"value": "one"}}, "sitelinks": {"enwiki": {"title": "One"}}, "claims": {"P1": [{"mainsnak": {"snaktype": "value", "datatype": "time", "datavalue": None}}]}}}
+    docs = {1: doc({"time": "a"}, kind="time"), 2: doc({"time": "b"}, kind="time"), 3: doc("x"), 4: doc("y")}
+    clients = {"entities": lambda part: {i: known[i] for i in part if i in known}, "revisions": lambda part: {i: docs[i] for i in part if i in docs}, "labels": lambda part: {"P1": "born"}}
+    entities, revisions, names = lookups.extraction_inputs(recs, clients)
+    (row,) = extract.extract_changes(recs, entities, revisions, names).collect()
+    assert (row.entity_id, row.entity_label, row.property_label, row.old_value, row.new_value) == ("Q1", "one", "born", "a", "b")
+
+
+def test_pages_of_an_endpoint_are_followed_and_landed(spark, tmp_path):
+    feed.register(spark)
+    asked, waits = [], []
+
+    def client(request):
+        asked.append(request)
+        if len(asked) == 2:
+            raise OSError("down")
+        at = request.get("from", 0)
+        records_ = [{"title": f"Q{at + i}", "revid": at + i, "timestamp": f"2025-01-01T00:00:0{9 - at - i}Z"} for i in range(2)]
+        return {"records": records_, "continue": {"from": at + 2} if at < 4 else None}
+
+    assert feed.land_pages(feed.paged(client, "2025-01-01T00:00:00Z", 2, sleep=waits.append), str(tmp_path)) == 3
+    assert waits == [5.0] and [r.get("from") for r in asked] == [None, 2, 2, 4] and all(r["end"] == "2025-01-01T00:00:00Z" for r in asked)
+    found = spark.read.format("change_feed").load(str(tmp_path)).orderBy("revid").collect()
+    assert [r.title for r in found] == [f"Q{i}" for i in range(6)]
+    assert spark.read.format("change_feed").load(f"file://{tmp_path}").count() == 6
+    with pytest.raises(OSError, match="down"):
+        list(feed.paged(lambda _: (_ for _ in ()).throw(OSError("down")), tries=3, sleep=waits.append))

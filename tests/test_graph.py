@@ -181,3 +181,35 @@ def test_statistics(spark):
     df = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "v string")
     assert [(r.value, r.n, r.place) for r in stats.value_counts(df, {"f": "v"}).orderBy("place").collect()] == [("a", 2, 1), ("b", 1, 2)]
     assert stats.distinct_counts(df, {"f": "v"}).first().total_count == 2
+
+
+def test_quota_is_of_all_predicates(spark):
+    """Of three predicates one has no single-valued fact; it counts for the quota all the same."""
+    rows = [(f"s{i}", "P1", f"o{i}") for i in range(9)] + [(f"t{i}", "P2", f"u{i}") for i in range(9)] + [("x", "P3", f"y{i}") for i in range(20)]
+    g = spark.createDataFrame(rows, "s string, p string, o string")
+    for chosen in (mining.greedy_stratified(g, 9), mining.stratified(g, 9)):
+        assert sorted(r["count"] for r in chosen.groupBy("p").count().collect()) == [3, 3]
+
+
+def test_repeated_rows_count_for_the_least_number_of_attributes(spark):
+    rows = [("e", "P1", "a"), ("e", "P2", "b"), ("e", "P2", "b"), ("f", "P1", "a"), ("f", "P2", "c")]
+    triples = spark.createDataFrame(rows, "subject_id string, p string, o string")
+    g = triples.toDF("s", "p", "o").distinct()
+    own = mining.ordered_constraints(g, rows=t.degrees(triples, 3))
+    assert {(r.e, r.p, r.o) for r in own.collect()} == {("e", "P1", "a"), ("e", "P2", "b")}
+    assert [tuple(r) for r in mining.smallest_prefixes(g, own).collect()] == [("e", 2)]
+
+
+def test_extended_prefixes_need_the_entity_to_have_them(spark):
+    g = spark.createDataFrame([("e", "P1", "a"), ("e", "P2", "b"), ("e", "P3", "c"), ("f", "P1", "a"), ("f", "P2", "b")], "s string, p string, o string")
+    own = g.where("p <> 'P3' AND s = 'e'")
+    more = spark.createDataFrame([("e", "P3", "c")], "s string, p string, o string")
+    found, kept = mining.extended_prefixes(g, own, more)
+    (k,) = [r.k for r in found.collect()]
+    order = {r.p: r.i for r in kept.collect()}
+    assert k == max(2, order["P3"])
+    wrong = more.unionByName(spark.createDataFrame([("e", "P4", "not in the graph")], "s string, p string, o string"))
+    _, kept = mining.extended_prefixes(g, own, wrong)
+    assert "P4" not in {r.p for r in kept.collect()}
+    none, _ = mining.extended_prefixes(g, own, more.limit(0))
+    assert none.count() == 0
