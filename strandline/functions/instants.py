@@ -16,7 +16,9 @@ def instant_micros(text: Column) -> Column:
     spread = F.regexp_replace(F.regexp_replace(spread, r":(?=$|[Z+\-.])", ":00"), r"([+\-]\d{2})(\d{2})?$", "$1:$2")
     spread = F.regexp_replace(spread, r"([+\-]\d{2}):$", "$1:00")
     spread = F.regexp_replace(spread, r"^(.{10}[T ]\d{2}:\d{2})(?=$|[Z+\-])", "$1:00")
-    return F.coalesce(F.unix_micros(_in_utc(plain).try_cast("timestamp")), F.unix_micros(_in_utc(spread).try_cast("timestamp")))
+    other = F.coalesce(F.unix_micros(_in_utc(plain).try_cast("timestamp")), F.unix_micros(_in_utc(spread).try_cast("timestamp")))
+    usual = text.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$")  # most are: no need to look for the zone
+    return F.when(usual, F.unix_micros(text.try_cast("timestamp"))).otherwise(other)
 
 
 def _in_utc(text: Column) -> Column:
@@ -28,5 +30,9 @@ def _in_utc(text: Column) -> Column:
 def iso_text(micros: Column) -> Column:
     """Microseconds since the epoch as `2025-01-31T12:00:00Z`, whatever the session's zone."""
     second = F.floor(micros / F.lit(1_000_000))
-    at = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=second.cast("decimal(18,6)"))
-    return F.concat(F.translate(F.substring(at.cast("string"), 1, 19), " ", "T"), F.lit("Z"))
+    day = F.floor(second / F.lit(86_400)).cast("int")
+    of_day = (second - day.cast("long") * 86_400).cast("int")
+    two = F.array(*[F.lit(f"{i:02d}") for i in range(60)])
+    hour, minute = F.floor(of_day / F.lit(3600)).cast("int"), F.floor(of_day % 3600 / F.lit(60)).cast("int")
+    part = lambda n: F.element_at(two, n + 1)
+    return F.concat(F.date_from_unix_date(day).cast("string"), F.lit("T"), part(hour), F.lit(":"), part(minute), F.lit(":"), part(of_day % 60), F.lit("Z"))
