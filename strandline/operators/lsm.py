@@ -92,8 +92,12 @@ class MergeTree:
             F.coalesce("at", F.lit(NEVER)).alias("at"), "revid", (-F.col("feed_pos")).alias("undelivered"), F.col("new_value").alias("value"), (F.col("kind") == "deleted").alias("tombstone")
         ).cast(VERSION)
         rows = changes.select((F.lit(0) if stretch is None else stretch).cast("int").alias("stretch"), *[_stored(k).alias(k) for k in KEY], version.alias("v"))
-        newest = rows.repartition(self.buckets, *KEY).groupBy("stretch", *KEY).agg(F.max("v").alias("newest"))
-        runs = self._write(newest, stretches)
+        # A column per stretch, so that versions are combined before the one shuffle, which is by key and lays out the buckets.
+        newest = rows.groupBy(*KEY).agg(*[F.max(F.when(F.col("stretch") == i, F.col("v"))).alias(f"v{i}") for i in range(stretches)])
+        if self.buckets != int(self.spark.conf.get("spark.sql.shuffle.partitions")):
+            newest = newest.repartition(self.buckets, *KEY)
+        each = F.array(*[F.struct(F.lit(i).alias("stretch"), F.col(f"v{i}").alias("newest")) for i in range(stretches)])
+        runs = self._write(newest.select(*KEY, F.inline(each)).where(F.col("newest").isNotNull()).select("stretch", *KEY, "newest"), stretches)
         self.batch = self.batch if batch is None else batch
         self.levels.setdefault(0, []).extend(runs)
         self._save()
