@@ -29,11 +29,11 @@ def single_valued(graph: DataFrame) -> DataFrame:
 
 
 def stratified(graph: DataFrame, total: int) -> DataFrame:
-    """(s, p, o, place): of each predicate as many single-valued facts as its share of `total`, one at least, in hash order."""
+    """(s, p, o, place): of each predicate as many single-valued facts as its share of `total`, one at least, in hash order; `total` in all at most, by place."""
     quota = graph.agg(F.greatest(F.lit(1), F.floor(F.lit(total) / F.greatest(F.lit(1), F.count_distinct("p")))).alias("quota"))
     order = hash_order("s", "p", "o")
     ranked = single_valued(graph).withColumn("place", F.row_number().over(Window.partitionBy("p").orderBy(order, "s")).cast("long"))
-    return ranked.join(F.broadcast(quota), F.col("place") <= F.col("quota")).drop("quota")
+    return ranked.join(F.broadcast(quota), F.col("place") <= F.col("quota")).drop("quota").orderBy("place", "p").limit(total)
 
 
 def verified(candidates: DataFrame, graph: DataFrame, target: int | None = None) -> DataFrame:

@@ -98,7 +98,8 @@ def bridge_questions(spark, d):
 
 def level1_questions(spark, d):
     ones = mining.single_valued(_facts(spark, d)).join(_labelled(spark, d), ["s", "p", "o"])
-    return questions.single_hop(ones).select("question", "answer", "sparql_verification")
+    plain = questions.single_hop(ones).withColumnRenamed("question", "plain")
+    return questions.worded(plain, "plain", None, "plain").select("question", "answer", "sparql_verification")
 
 
 def _rows(spark: SparkSession, d: str) -> DataFrame:
@@ -428,7 +429,7 @@ SQL = {
     "statement_values": "SELECT feed_pos, new_value AS value FROM triple_changes",
     "item_counts": "SELECT property_id AS predicate_id, count(*) AS n FROM triple_changes WHERE new_value LIKE 'Q%' GROUP BY 1",
     "locally_unique_facts": f"WITH {_G}, {_ONE.format(g='g')} SELECT s, p, o FROM u",
-    "stratified_candidates": f"WITH {_G}, {_ONE.format(g='g')}, {_STRATA.format(g='g')} SELECT s, p, o, place FROM r, q WHERE place <= quota",
+    "stratified_candidates": f"WITH {_G}, {_ONE.format(g='g')}, {_STRATA.format(g='g')} SELECT s, p, o, place FROM r, q WHERE place <= quota ORDER BY place, p LIMIT 5000",
     "verified_candidates": f"WITH {_G}, {_KNOWN}, {_ONE.format(g='k')}, {_STRATA.format(g='k')} SELECT s, p, o, place FROM r, q WHERE place <= quota AND (s, p) IN (SELECT (s, p) FROM g GROUP BY s, p HAVING count(*) = 1)",
     "sampled_facts": f"WITH {_G} SELECT s, p, o FROM g ORDER BY md5(s || '|' || p || '|' || o || '|42'), s, p, o LIMIT 1000",
     "bridge_paths": f"WITH {_K}, {_B} SELECT a, p1, b, p2, c FROM b",
