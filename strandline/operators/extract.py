@@ -18,22 +18,22 @@ def statement_value(document: Column, pid: Column) -> Column:
     ERROR for a document that can't be read, NO_VALUE where the property or its value is missing, SOME_VALUE for an unknown
     value; else the first of id, amount, time, latitude and longitude, text that the value has, or the value itself.
     """
-    readable = F.try_parse_json(document)
     inside = lambda text, path: F.call_function("get_json_object", text, path)  # noqa: E731  a path may be a column
+    once = lambda column, then: F.get(F.transform(F.array(column), then), F.lit(0))  # noqa: E731  so that a text is read once, however often it is asked for
     statement = F.concat(F.lit("$.claims."), pid, F.lit("[0]"))
-    first = inside(document, F.concat(statement, F.lit(".mainsnak")))
-    kind = F.get_json_object(first, "$.snaktype")
-    value = F.get_json_object(first, "$.datavalue.value")
-    at = lambda name: F.get_json_object(value, f"$.{name}")
-    point = F.when(at("latitude").isNotNull() & at("longitude").isNotNull(), F.concat_ws(",", at("latitude"), at("longitude")))
-    text = F.coalesce(at("id"), at("amount"), at("time"), point, at("text"), value)
-    return (
-        F.when(document.isNull() | readable.isNull() | (F.trim(document).isin("", "null", "{}", "[]")), F.lit("ERROR"))
-        .when(inside(document, statement).isNull(), "NO_VALUE")
-        .when(kind == "somevalue", "SOME_VALUE")
-        .when(kind == "novalue", "NO_VALUE")
-        .otherwise(F.coalesce(text, F.lit("ERROR")))
-    )
+    unread = document.isNull() | F.try_parse_json(document).isNull() | F.trim(document).isin("", "null", "{}", "[]")
+
+    def text(value: Column) -> Column:
+        fields = F.from_json(value, "id string, amount string, time string, latitude string, longitude string, text string")
+        point = lambda f: F.when(f["latitude"].isNotNull() & f["longitude"].isNotNull(), F.concat_ws(",", f["latitude"], f["longitude"]))
+        return F.coalesce(once(fields, lambda f: F.coalesce(f["id"], f["amount"], f["time"], point(f), f["text"])), value, F.lit("ERROR"))
+
+    def said(snak: Column) -> Column:
+        kind = F.get_json_object(snak, "$.snaktype")
+        return F.when(kind == "somevalue", "SOME_VALUE").when(kind == "novalue", "NO_VALUE").otherwise(once(F.get_json_object(snak, "$.datavalue.value"), text))
+
+    first = once(inside(document, statement), lambda s: F.when(s.isNull(), F.lit("NO_VALUE")).otherwise(once(F.get_json_object(s, "$.mainsnak"), said)))
+    return F.when(unread, F.lit("ERROR")).otherwise(first)
 
 
 def change_kind(old: Column, new: Column) -> Column:
