@@ -19,6 +19,8 @@ from strandline.operators.feed import normal_changes
 from strandline.session import files, scratch_path
 
 KEY = ("entity_id", "property_id")
+#: Rows of a feed for which a bucket is worth its files, up to one bucket per shuffle partition.
+BUCKET_ROWS = 50_000
 #: Before every instant: the place of changes whose instant can't be read.
 NEVER = -(1 << 62)
 #: A version, in the order that decides which is newest.
@@ -164,9 +166,10 @@ def current_state(changes: DataFrame, runs: int = 10, buckets: int | None = None
     columns are ignored. The tree lies in the shared folder until that is cleared, as the result is read from it.
     """
     spark = changes.sparkSession
-    tree = MergeTree(spark, scratch_path(spark, "lsm"), buckets)
     feed = normal_changes(changes)
-    first, last = feed.agg(F.min("feed_pos"), F.max("feed_pos")).first()
+    first, last, rows = feed.agg(F.min("feed_pos"), F.max("feed_pos"), F.count(F.lit(1))).first()
+    buckets = buckets or min(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // BUCKET_ROWS + 1)
+    tree = MergeTree(spark, scratch_path(spark, "lsm"), buckets)
     width = ((last or 0) - (first or 0)) // runs + 1
     tree.append(feed, F.coalesce(F.floor((F.col("feed_pos") - F.lit(first or 0)) / F.lit(width)), F.lit(0)), runs)
     return tree.read()

@@ -282,7 +282,7 @@ def stream_newest(spark, d):
 
 
 def stream_current(spark, d):
-    return stream_state(spark, *_pages(spark, d), 1).read()
+    return stream_state(spark, *_pages(spark, d), 1, buckets=4).read()
 
 
 def windowed_changes(spark, d):

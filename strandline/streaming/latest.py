@@ -41,14 +41,14 @@ def stream_latest(spark: SparkSession, folder: str, schema, files_per_batch: int
     return written.groupBy("entity_id").agg(F.max_by(F.struct(*kept), "batch").alias("row")).select("entity_id", "row.*")
 
 
-def stream_state(spark: SparkSession, folder: str, schema, files_per_batch: int = 4, path: str | None = None, fanout: int = 4) -> MergeTree:
+def stream_state(spark: SparkSession, folder: str, schema, files_per_batch: int = 4, path: str | None = None, fanout: int = 4, buckets: int | None = None) -> MergeTree:
     """Appends every micro-batch of a stream of changes to a merge tree as a run; read() gives the state after the last one.
 
     With `path` the tree and the marks of the stream stay there, and a later call goes on where an earlier one ended or broke off: the
     tree's manifest knows the last batch that it has, so a batch played again after a failure adds nothing.
     """
     path = path or scratch_path(spark, "stream-lsm")
-    tree = MergeTree(spark, f"{path}/tree", fanout=fanout)
+    tree = MergeTree(spark, f"{path}/tree", buckets, fanout)
 
     def append(batch: DataFrame, number: int) -> None:
         tree.append(normal_changes(batch), batch=number)
