@@ -13,29 +13,33 @@ of texts in all); the README has the figures. Masks over what is shared, rarest
 
 Keys that many texts have are cut into tiles. Texts with a key in common are compared by the parity bits of their grams
 (a bound that never loses a pair), and what is left by the grams themselves.
+
+All keys together take many times the room of the texts. They are made, shuffled and compared part by part, a key's grams saying which part
+it is in, so that on disk there is never more than a part's; what the keys are made of is worked out once and kept.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandline.session import scratch_path
+from strandline.session import files, scratch_path
 
 LIKENESS = 0.65
 GRAM = 4
 #: Low bits of a key that hold the text's size; larger sizes stand as the largest and are let through to the exact comparison.
 SIZE_BITS = 14
 LARGEST = (1 << SIZE_BITS) - 1
-WORDS = 3
+WORDS = 4
 #: Rows that one block of comparisons takes from a bucket.
 BLOCK = 256
 #: Up to this size the buckets of one size are compared together.
@@ -45,6 +49,8 @@ SLOT_BITS, KEY_BITS = 20, 16
 #: Keys are counted over one text in so many; a key with more rows than TILE by that count is cut into tiles of about TILE rows a side.
 COUNTED = 8
 TILE = 8192
+#: Bytes of a row of the tables; those of a part of all rows: so many times the texts' own, and at least so many.
+ROW_BYTES, PART_SHARE, PART_LEAST = 8 * (2 + WORDS), 3, 192_000_000
 #: Texts of the sample by which the depth is chosen, and what a row and a comparison cost in seconds, as measured.
 PLAN_TEXTS = 768
 ROW_S, COMPARISON_S = 2.5e-6, 5e-9
@@ -139,37 +145,69 @@ def _subsets(n: int, depth: int) -> np.ndarray:
     return rows
 
 
-def text_keys(hashes: np.ndarray, size: np.ndarray, often: np.ndarray, plan: Plan, likeness: float) -> tuple[np.ndarray, np.ndarray]:
-    """The keys of texts in all tables of the bands that a pair with them may be in, and the text that each key is of."""
-    owner = np.repeat(np.arange(len(size)), size)
-    ordered = hashes[np.lexsort((hashes, often[slot_of(hashes)], owner))]
-    place = np.arange(len(hashes)) - np.repeat(np.cumsum(size) - size, size)
-    codes = _mixed(ordered)
+def _bands(size: np.ndarray, plan: Plan, likeness: float) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """(band, depth, classes, grams of each text that are looked at) of each band that pairs of the texts may be in."""
     lowest = np.frexp(np.maximum(size, 1))[1] - 1
     highest = np.frexp(np.maximum(1, np.floor(size / likeness + 1e-9)))[1] - 1
-    keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for band in range(int(lowest.min(initial=1)), int(highest.max(initial=0)) + 1):
         shared, depth, classes = plan.band(band, likeness)
         fewest = np.ceil(likeness * np.maximum(size, 1 << band) - 1e-9).astype(np.int64)
-        length = np.where((lowest <= band) & (band <= highest), np.minimum(size, size - fewest + shared), 0)
+        yield band, depth, classes, np.where((lowest <= band) & (band <= highest), np.minimum(size, size - fewest + shared), 0)
+
+
+def prefixes(hashes: np.ndarray, size: np.ndarray, often: np.ndarray, plan: Plan, likeness: float) -> tuple[np.ndarray, np.ndarray]:
+    """The grams that any band looks at, in 32 bits, rarest first, one text after another; and how many each text has. Grams of equal bits only add keys in common."""
+    owner = np.repeat(np.arange(len(size)), size)
+    order = np.lexsort((hashes, owner << 32 | often[slot_of(hashes)]))
+    place = np.arange(len(hashes)) - np.repeat(np.cumsum(size) - size, size)
+    most = np.zeros(len(size), np.int64)
+    for *_, length in _bands(size, plan, likeness):
+        most = np.maximum(most, length)
+    return (hashes[order][place < most[owner]] >> np.uint64(32)).astype(np.uint32), most
+
+
+def prefix_keys(grams_: np.ndarray, most: np.ndarray, size: np.ndarray, plan: Plan, likeness: float, part: int = 0, parts: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of texts, given by their prefixes, in all tables of the bands that a pair with them may be in, and the text that each key is of: those of one part."""
+    owner = np.repeat(np.arange(len(size)), most)
+    place = np.arange(len(grams_)) - np.repeat(np.cumsum(most) - most, most)
+    value = grams_.astype(np.uint64)
+    codes = _mixed(value)
+    keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for band, depth, classes, length in _bands(size, plan, likeness):
         seen = place < length[owner]
-        group = owner[seen] * classes + (codes[seen] % np.uint64(classes)).astype(np.int64)
-        order = np.lexsort((ordered[seen], group))
-        group, seen_grams = group[order], ordered[seen][order]
+        group = owner[seen].astype(np.uint64) * np.uint64(classes) + codes[seen] % np.uint64(classes)
+        if len(size) * classes < 1 << 32:
+            packed = np.sort(group << np.uint64(32) | value[seen])
+            group, seen_grams = (packed >> np.uint64(32)).astype(np.int64), packed & np.uint64(2**32 - 1)
+        else:
+            order = np.lexsort((value[seen], group))
+            group, seen_grams = group[order].astype(np.int64), value[seen][order]
+        lot = (_mixed(seen_grams ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(parts)).astype(np.uint32)
         begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
         count = np.diff(np.append(begin, len(group)))
         for n in np.unique(count[count >= depth]).tolist():
             chosen = begin[count == n]
             subsets = _subsets(n, depth)
-            key = np.repeat((group[chosen] % classes + (band << 32) + 1).astype(np.uint64)[:, None], len(subsets), axis=1)
-            grams_ = seen_grams[chosen[:, None] + np.arange(n)]
+            at = chosen[:, None] + np.arange(n)
+            if parts > 1:
+                lots = lot[at]
+                which, subset = np.nonzero(sum(lots[:, column] for column in subsets.T) % np.uint32(parts) == part)
+            else:
+                which, subset = np.repeat(np.arange(len(chosen)), len(subsets)), np.tile(np.arange(len(subsets)), len(chosen))
+            of = group[chosen][which]
+            key = (of % classes + (band << 32) + 1).astype(np.uint64)
             for column in subsets.T:
-                key = _mixed(key + grams_[:, column])
-            keys.append(key.ravel())
-            owners.append(np.repeat(group[chosen] // classes, len(subsets)))
+                key = _mixed(key + seen_grams[chosen[which] + column[subset]])
+            keys.append(key)
+            owners.append(of // classes)
     return np.concatenate(keys), np.concatenate(owners)
 
 
+def text_keys(hashes: np.ndarray, size: np.ndarray, often: np.ndarray, plan: Plan, likeness: float) -> tuple[np.ndarray, np.ndarray]:
+    """All keys of texts given by their grams, and the text that each key is of."""
+    return prefix_keys(*prefixes(hashes, size, often, plan, likeness), size, plan, likeness)
+
+
 def _summed(texts: DataFrame, count, bits: int) -> np.ndarray:
     """The sum over all texts of count(hashes, sizes) -> slots, in 1 << bits slots; added up per task before the shuffle."""
 
@@ -209,17 +247,38 @@ def choose_plan(texts: DataFrame, often: np.ndarray, likeness: float = LIKENESS)
     return min(PLANS, key=cost)
 
 
-def _tables(texts: DataFrame, often, tiles, plan: Plan, likeness: float) -> DataFrame:
-    """(key, id, bits0, ...): every text under each of its keys; under a key of n tiles in a row and a column of them. often, tiles: broadcast."""
-    names = ["key", "id", *[f"bits{i}" for i in range(WORDS)]]
+BITS = [f"bits{i}" for i in range(WORDS)]
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _prepared(texts: DataFrame, often, plan: Plan, likeness: float) -> DataFrame:
+    """(id, size, bits0, ..., prefix): what the rows of a text are made of. often: broadcast."""
+
+    def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, listed = batch.column(0).to_numpy(), batch.column(1).to_pylist()
             for block in blocks(listed):
                 hashes, size = gram_hashes(listed[block])
-                held = np.column_stack([ids[block], parity_bits(hashes, size)])
-                key, owner = text_keys(hashes, size, often.value, plan, likeness)
+                grams_, most = prefixes(hashes, size, often.value, plan, likeness)
+                ends = np.append(0, np.cumsum(most)) * grams_.itemsize
+                held, raw = parity_bits(hashes, size), grams_.tobytes()
+                prefix = pa.array([raw[i:j] for i, j in zip(ends[:-1], ends[1:])], pa.binary())
+                columns = [ids[block], size, *np.ascontiguousarray(held.T)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), prefix], names=["id", "size", *BITS, "prefix"])
+
+    return texts.select("id", "text").mapInArrow(prepare, ", ".join(f"{name} bigint" for name in ("id", "size", *BITS)) + ", prefix binary")
+
+
+def _tables(prepared: DataFrame, tiles, plan: Plan, likeness: float, part: int, parts: int) -> DataFrame:
+    """(key, id, bits0, ...): every text under each of its keys of a part; under a key of n tiles in a row and a column of them. tiles: broadcast."""
+    names = ["key", "id", *BITS]
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of_batch, sizes, listed = np.column_stack([batch.column(0), *batch.columns[2:-1]]), batch.column(1).to_numpy(), batch.column(2 + WORDS).to_pylist()
+            for block in blocks(listed):
+                held, size = of_batch[block], sizes[block]
+                most = np.fromiter(map(len, listed[block]), np.int64, len(size)) // 4
+                key, owner = prefix_keys(np.frombuffer(b"".join(listed[block]), np.uint32), most, size, plan, likeness, part, parts)
                 many = tiles.value[slot_of(key, KEY_BITS)].astype(np.int64)
                 if (many > 1).any():  # a tile for each pair of the text's own part and another part of the key's texts
                     n = np.repeat(many, many)
@@ -230,11 +289,11 @@ def _tables(texts: DataFrame, often, tiles, plan: Plan, likeness: float) -> Data
                     key = np.where(n > 1, _mixed(key + tile.astype(np.uint64)), key)
                 key = key & np.uint64(~LARGEST & (2**64 - 1)) | np.minimum(size, LARGEST).astype(np.uint64)[owner]
                 for begin in range(0, len(key), 200_000):
-                    part = slice(begin, begin + 200_000)
-                    columns = [key[part].view(np.int64), *np.ascontiguousarray(held[owner[part]].T)]
+                    part_ = slice(begin, begin + 200_000)
+                    columns = [key[part_].view(np.int64), *np.ascontiguousarray(held[owner[part_]].T)]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
-    return texts.mapInArrow(emit, ", ".join(f"{name} bigint" for name in names))
+    return prepared.mapInArrow(emit, ", ".join(f"{name} bigint" for name in names))
 
 
 class Rows:
@@ -245,13 +304,13 @@ class Rows:
         self.size = (rows[:, 0] & LARGEST).astype(np.int32)
         self.words = [np.ascontiguousarray(rows[:, 2 + w]).view(np.uint64) for w in range(WORDS)]
         factor = (1 - likeness) / (1 + likeness)
-        self.buffers = np.empty((BLOCK, BLOCK), np.uint64), np.empty((BLOCK, BLOCK), np.uint8), np.empty((BLOCK, BLOCK), np.uint8)
+        self.buffers = np.empty((BLOCK, BLOCK), np.uint64), np.empty((BLOCK, BLOCK), np.uint8), np.empty((BLOCK, BLOCK), np.uint16)
         #: The least sum of sizes at which texts may differ in so many bits.
         self.least = np.ceil((np.arange(64 * WORDS + 1) - 1e-9) / factor).astype(np.int32)
 
     def close(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Whether rows x and y, pair by pair, may be alike."""
-        differ = sum(np.bitwise_count(word[x] ^ word[y]) for word in self.words)
+        differ = sum(np.bitwise_count(word[x] ^ word[y]).astype(np.int32) for word in self.words)
         size = self.size[x] + self.size[y]
         return (self.least[differ] <= size) | (np.maximum(self.size[x], self.size[y]) == LARGEST)
 
@@ -329,24 +388,53 @@ def _candidates(tables: DataFrame, likeness: float) -> DataFrame:
             yield drained(np.concatenate(kept))
 
     sorted_ = tables.repartition(F.shiftright("key", SIZE_BITS)).sortWithinPartitions("key")
-    return sorted_.mapInArrow(compare, "a bigint, b bigint").distinct()
+    return sorted_.mapInArrow(compare, "a bigint, b bigint")
+
+
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Within it the shuffle files of a query go when the query ends, and not when the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
 
+def part_count(rows: int, text_bytes: int, least: int = PART_LEAST) -> int:
+    """The number of parts in which so many rows of the tables are shuffled."""
+    return max(1, -(-rows * ROW_BYTES // max(least, PART_SHARE * text_bytes)))
 
-def alike_texts(texts: DataFrame, likeness: float = LIKENESS, plan: Plan | None = None, tile: int = TILE) -> DataFrame:
-    """(a, b): ids of the pairs of distinct texts (id bigint, text string) that are at least `likeness` alike. `tile`: rows of a tile's side."""
+
+def alike_texts(texts: DataFrame, likeness: float = LIKENESS, plan: Plan | None = None, tile: int = TILE, part_least: int = PART_LEAST) -> DataFrame:
+    """(a, b): ids of the pairs of distinct texts (id bigint, text string) that are at least `likeness` alike.
+
+    `tile`: rows of a tile's side. `part_least`: bytes of rows up to which a part isn't cut further.
+    """
     spark = texts.sparkSession
     broadcast = spark.sparkContext.broadcast
-    path = scratch_path(spark, "texts")  # they are read several times
-    texts.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "id").write.parquet(path)
-    texts = spark.read.schema(texts.schema).parquet(path)
-    counted = gram_counts(texts)
-    plan = choose_plan(texts, counted, likeness) if plan is None else plan
-    often = broadcast(counted)
-    some = texts.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(COUNTED)) == 0)
-    rows = _summed(some, lambda hashes, size: slot_of(text_keys(hashes, size, often.value, plan, likeness)[0], KEY_BITS), KEY_BITS) * COUNTED
-    rows -= int(np.median(rows))  # what other keys of a slot have
-    tiles = broadcast(np.minimum(np.maximum(1, -(-rows // tile)), 2**15 - 1).astype(np.int16))
-    pairs = _candidates(_tables(texts, often, tiles, plan, likeness), likeness)
+    path, prepared_path, pairs_path = (scratch_path(spark, what) for what in ("texts", "prefixes", "pairs"))
+    with _shuffles_dropped(spark):
+        texts.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "id").write.parquet(path)  # they are read several times
+        texts = spark.read.schema(texts.schema).parquet(path)
+        counted = gram_counts(texts)
+        plan = choose_plan(texts, counted, likeness) if plan is None else plan
+        often = broadcast(counted)
+        some = texts.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(COUNTED)) == 0)
+        rows = _summed(some, lambda hashes, size: slot_of(text_keys(hashes, size, often.value, plan, likeness)[0], KEY_BITS), KEY_BITS) * COUNTED
+        over = rows - int(np.median(rows))  # without what other keys of a slot have
+        many = np.minimum(np.maximum(1, -(-over // tile)), 2**15 - 1)
+        tiles = broadcast(many.astype(np.int16))
+        parts = part_count(int((rows * many).sum()), texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0, part_least)
+        prepared = _prepared(texts, often, plan, likeness)
+        prepared.write.parquet(prepared_path)
+        prepared = spark.read.schema(prepared.schema).parquet(prepared_path)
+        for part in range(parts):
+            _candidates(_tables(prepared, tiles, plan, likeness, part, parts), likeness).write.mode("append").parquet(pairs_path)
+    files(spark).delete(prepared_path)
+    pairs = spark.read.schema("a bigint, b bigint").parquet(pairs_path).distinct()
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
 

@@ -6,6 +6,7 @@ import base64
 import itertools
 import math
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -139,6 +140,29 @@ def test_near_duplicates_miss_no_pair(spark, plan):
         assert near.near_duplicate_pairs(df.limit(0)).count() == near.near_duplicate_classes(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_are_shuffled_in_parts(spark, tmp_path):
+    """The rows of the tables go by parts, each key in one, and no part's shuffle files outlast it."""
+    r = random.Random(3)
+    texts = {i: f"which {r.choice(['river', 'lake', 'town'])} lies near {''.join(r.choices('abcdefgh', k=7))} and {''.join(r.choices('abcdefgh', k=7))}" for i in range(300)}
+    texts |= {1000 + i: texts[i] + "s" for i in range(0, 300, 3)}
+    flat, size = near.gram_hashes(list(texts.values()))
+    often = np.zeros(1 << near.SLOT_BITS, np.int32)
+    for plan in near.PLANS:
+        whole = sorted(zip(*near.text_keys(flat, size, often, plan, near.LIKENESS)))
+        parts = [list(zip(*near.prefix_keys(*near.prefixes(flat, size, often, plan, near.LIKENESS), size, plan, near.LIKENESS, part, 5))) for part in range(5)]
+        assert sorted(k for p in parts for k in p) == whole and max(map(len, parts)) < 0.4 * len(whole)
+    assert near.part_count(10**7, 10**6) == 3 and near.part_count(10**9, 10**9) == 16 and near.part_count(0, 0) == 1
+
+    def shuffled():
+        return {p.name for p in Path(spark.sparkContext._jvm.org.apache.spark.util.Utils.getLocalDir(spark.sparkContext._jsc.sc().conf())).glob("../blockmgr-*/*/shuffle_*.data")}
+
+    df = spark.createDataFrame(list(texts.items()), "id bigint, text string")
+    before = shuffled()
+    found = near.alike_texts(df, part_least=300_000)
+    assert not shuffled() - before
+    assert {tuple(sorted(x)) for x in found.collect()} == likeness_pairs(texts)
+
+
 def test_texts_of_one_hash_stay_apart(spark, monkeypatch):
     monkeypatch.setattr(near, "_hash", lambda text: F.pmod(F.xxhash64(text), F.lit(3)) * 1024)
     texts = {i: f"which river flows past the town of {'abcdefghijkl'[i // 2] * 9}{i % 2}" for i in range(24)} | {50: "something else altogether"}
