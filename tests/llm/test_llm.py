@@ -395,6 +395,25 @@ def test_chain_field_learns_a_pattern():
     assert field.tag(chains) == tags and field.tag([]) == []
 
 
+def test_the_field_and_the_trees_are_fitted_on_all_pairs(spark, fitted_on):
+    """Every pair is among the examples, and shards that see a part each fit one field."""
+    read = fitted_on.where("response rlike '[a-z]{3}'").select("prompt", "response")
+    read = read.unionAll(read.selectExpr("prompt", "concat(response, ' Indeed.')")).unionAll(read.selectExpr("prompt", "concat(response, ' So it is.')")).na.drop()
+    habits = pairs.Habits(pairs.Trees({k: [pairs.SEED[k], pairs.COMMON[k]] for k in pairs.LANGUAGES}))
+    train = pairs._train(read, spark.sparkContext.broadcast(habits))
+    assert train.count() == read.count() and {tuple(r) for r in train.select("prompt", "response").collect()} == {tuple(r) for r in read.collect()}
+    r = random.Random(0)
+    rows = []
+    for key in range(900):
+        tags = [r.choice([pairs.ANSWER, pairs.REFUSAL]) for _ in range(r.randrange(1, 5))]
+        chain = [[1, 10 + t, 20 + r.randrange(5)] for t in tags]
+        rows.append((key, np.full(len(tags), 3, np.int32).tobytes(), np.array(chain, np.uint16).tobytes(), bytes(1 << t for t in tags), None, None, None, None, None, None))
+    made = spark.createDataFrame(rows, "key bigint, sizes binary, features binary, allowed binary, shape string, last string, known bigint, open bigint, share double, n bigint")
+    chains, allowed = pairs._unpacked(made.toPandas())
+    field = pairs.fit_field(made, 3, jobs=3, least_steps=600)
+    assert field.tag(chains) == [[next(iter(t)) for t in tags] for tags in allowed]
+
+
 def test_chain_field_learns_from_places_with_several_tags():
     """Half of the places say only what they may be; their features tell."""
     r = random.Random(1)
